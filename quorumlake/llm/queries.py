@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, packing, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": token_store.op1_token_store,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_packing": packing.op4_packing,
+    "op6_mixing": mixing.op6_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
