@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding, token_store
+from . import fingerprints, mixing, packing, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": token_store.op1_token_store,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op8_quality_rules": quality.op8_quality_rules,
 }
