@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, quality, sharding, token_store
+from . import fingerprints, html_extract, language, mixing, packing, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": token_store.op1_token_store,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language": language.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_html_extraction": html_extract.op9_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
