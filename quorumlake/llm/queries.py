@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_extract, language, mixing, packing, quality, sharding, token_store
+from . import fingerprints, html_extract, language, mixing, near_dedup, packing, passages, quality, sharding, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language": language.op7_language,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_html_extraction": html_extract.op9_html_extraction,
+    "op10_substring_dedup": passages.op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
