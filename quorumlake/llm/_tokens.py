@@ -38,10 +38,32 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+#: Letters that stay one piece under either pre-tokenizer, and marks that make a piece of their own after them.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)").fullmatch
+
+
+class _Codes(dict):
+    """Numbers new keys in the order of their first look-up; `new` holds those since it was last cleared."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        code = self[key] = len(self)
+        self.new.append(key)
+        return code
+
+
 class Encoder:
-    """ids(texts) gives the ids of all texts in a row, and how many each text has."""
+    """ids(texts) gives the ids of all texts in a row, and how many each text has.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    A chunk is two pieces at most: letters with the marks that follow, or one
+    piece of any kind. New pieces of letters are encoded together in one call;
+    which of the ids ends (or begins) a word tells them apart.
+    """
+
+    def __init__(self, path: str, chunks: int = 700_000, pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,17 +75,23 @@ class Encoder:
         self._kind = "whole"
         if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and norm is None:
             self._kind = "spaces"
-        elif before.get("type") == "Sequence" and [p["type"] for p in before["pretokenizers"]] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed" and "[^\\s\\p{L}\\p{N}]+" in before["pretokenizers"][0]["pattern"].get("Regex", ""):
+        elif before.get("type") == "Sequence" and [p["type"] for p in before["pretokenizers"]] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed" and "[^\\s\\p{L}\\p{N}]+" in before["pretokenizers"][0]["pattern"].get("Regex", "") and spec["model"].get("end_of_word_suffix") == "</w>":
             self._kind = "words"
-        self._limit = limit
+        vocab = self._of.get_vocab()
+        self._edge = np.zeros(max(vocab.values()) + 1, bool)
+        for token, k in vocab.items():
+            self._edge[k] = token.endswith("</w>") if self._kind == "words" else token.startswith("\u0120")
+        self._chunk_limit, self._piece_limit = chunks, pieces
         self._clear()
 
     def _clear(self) -> None:
-        self._code: dict[str, int] = {}
-        self._flat: list[np.ndarray] = []
-        self._start = np.empty(0, np.int64)
-        self._size = np.empty(0, np.int64)
-        self._ids = np.empty(0, np.uint32)
+        self._pieces = _Codes()
+        self._ids, self._start, self._size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._clear_chunks()
+
+    def _clear_chunks(self) -> None:
+        self._chunks = _Codes()
+        self._parts = np.empty((0, 2), np.int64)
 
     def _keys(self, text: str) -> list[str] | None:
         """Chunks as cache keys: a leading space is left out, 0x00 marks that there was none. None: encode whole."""
@@ -78,37 +106,68 @@ class Encoder:
         return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c if c[0] == "\n" and len(c) > 1 else "\x00" + c for c in _CHUNKS.findall(text)]
 
     def _text(self, key: str) -> str:
-        if self._kind == "words" or key[0] == "\n":
+        if self._kind == "words" or not key or key[0] == "\n":
             return key
         return key[1:] if key[0] == "\x00" else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
-        if len(self._code) + len(keys) > self._limit:
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words of letters, each after a space, by one call; and how many each word has."""
+        ids = np.array(self._of.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self._edge[ids])
+        size = np.diff(np.r_[-1, at]) if self._kind == "words" else np.diff(np.r_[at, len(ids)])
+        return (ids, size) if len(size) == len(words) and size.sum() == len(ids) else None
+
+    def _learn_pieces(self) -> None:
+        """Encodes the pieces that have a number but no ids yet."""
+        new, self._pieces.new = self._pieces.new, []
+        if not new:
+            return
+        size = np.full(len(new), -1, np.int64)
+        order, flat = [], []
+        plain = [k for k, x in enumerate(new) if x.isalpha() and _SIMPLE(x)]
+        for a in range(0, len(plain), 4096):
+            some = plain[a : a + 4096]
+            got = self._together([new[k] for k in some])
+            if got:
+                order += some
+                flat.append(got[0])
+                size[some] = got[1]
+        rest = np.flatnonzero(size < 0).tolist()
+        for k, e in zip(rest, self._of.encode_batch_fast([self._text(new[k]) for k in rest], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, np.uint32))
+            size[k] = len(e.ids)
+        order = np.array(order + rest, np.int64)
+        start = np.empty(len(new), np.int64)
+        start[order] = len(self._ids) + np.cumsum(size[order]) - size[order]
+        self._start = np.concatenate([self._start, start])
+        self._size = np.concatenate([self._size, size])
+        self._ids = np.concatenate([self._ids, *flat])
+
+    def _learn_chunks(self) -> None:
+        new, self._chunks.new = self._chunks.new, []
+        parts = np.empty((len(new), 2), np.int64)
+        pieces, fold = self._pieces, self._kind == "words"
+        none = pieces[""]
+        for k, x in enumerate(new):
+            m = _SIMPLE(x)
+            if m:
+                word, marks = m.groups()
+                parts[k] = pieces[word.lower() if fold else word], pieces[marks if fold else "\x00" + marks] if marks else none
+            else:
+                parts[k] = pieces[x], none
+        self._learn_pieces()
+        self._parts = np.concatenate([self._parts, parts])
+
+    def _chunked(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._chunks) > self._chunk_limit:
+            self._clear_chunks()
+        if len(self._pieces) > self._piece_limit:
             self._clear()
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            ids = [e.ids for e in self._of.encode_batch_fast([self._text(k) for k in some], add_special_tokens=False)]
-            n = len(self._code)
-            self._code.update(zip(some, range(n, n + len(some)), strict=True))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-            self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(size) - size])
-            self._size = np.concatenate([self._size, size])
-            self._ids = np.concatenate([self._ids, flat])
-
-    def _chunked(self, keys: list[str]) -> np.ndarray:
-        get = self._code.get
-        codes = list(map(get, keys))
-        if None in codes:
-            new = list(dict.fromkeys(k for k, c in zip(keys, codes, strict=True) if c is None))
-            if len(self._code) + len(new) > self._limit:
-                self._clear()
-                new = list(dict.fromkeys(keys))
-            self._learn(new)
-            get = self._code.__getitem__
-            codes = list(map(get, keys))
-        at = np.array(codes, np.int64)
-        return self._ids[T.ragged(self._start[at], self._size[at])], self._size[at]
+        codes = np.array(list(map(self._chunks.__getitem__, keys)), np.int64)
+        if self._chunks.new:
+            self._learn_chunks()
+        at = self._parts[codes].ravel()
+        return self._ids[T.ragged(self._start[at], self._size[at])], self._size[at].reshape(-1, 2).sum(1)
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out: list[np.ndarray] = []

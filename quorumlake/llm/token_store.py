@@ -135,7 +135,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end: int =
 
     raw = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(encode, _RAW)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = raw.repartition(parts, F.coalesce(F.xxhash64("digest"), F.xxhash64("doc_id", "root"))).sortWithinPartitions("kind", "digest").mapInArrow(once, _RAW)
+    raw = raw.repartition(parts, F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest"))).sortWithinPartitions("kind", "digest").mapInArrow(once, _RAW)
     raw.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/raw")
 
     recipes = spark.read.schema("kind string, doc_id bigint, digests array<binary>, sizes array<bigint>, root binary").parquet(f"{path}/raw").where("kind = 'recipe'").drop("kind")
