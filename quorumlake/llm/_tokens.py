@@ -1,45 +1,50 @@
-"""Token ids of whole texts by the tokenizers library, through a bounded cache of white-space-delimited chunks.
+"""Token ids of whole texts by the tokenizers library, through a bounded cache of chunks.
 
 The two pre-tokenizers that the cache knows never join characters across the
-places where chunks are cut: the byte-level pattern starts a new piece at a
-single space or newline between other characters, and the word pattern drops
-white space. Texts that hold control characters on which the definitions of
-white space differ, and other pre-tokenizers, are encoded whole.
+places where chunks are cut. The byte-level pattern starts a new piece at the
+beginning of white space, at a space or newline before another character, and
+after such a newline. The word pattern drops white space.
+Bytes that may begin white space beyond ASCII are not cut at. Other
+pre-tokenizers encode texts whole.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from . import _text as T
 
-#: White space other than space and newline, and separators that only some definitions count as such.
-_ODD = re.compile("[\t\r\x0b\x0c\x00\x1c-\x1f\x85\xa0  -     　]")
-_SEPARATORS = re.compile("[\x00\x1c-\x1f]")
-_CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_PIECE = 1 << 20
-
-
-def _pieces(text: str) -> Iterator[str]:
-    """Cuts very long texts before single spaces between other characters."""
-    at = 0
-    while len(text) - at > _PIECE:
-        found = _CUT.search(text, at + _PIECE)
-        if not found:
-            break
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:] if at else text
+#: Lead bytes of characters that may be white space.
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Characters that are no white space, by their first byte.
+_SOLID = np.arange(256) > 0x20
+_SOLID[0x7F] = False
+_SOLID &= ~_DOUBTFUL
+_BLANK = " \t\n\x0b\x0c\r"
+
+
+def _cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Places at which the byte-level pattern starts a new piece, documents' starts among them."""
+    cut = np.zeros(len(buf), bool)
+    if len(buf) > 1:
+        solid = _SOLID[buf[1:]]
+        line = (buf[:-1] == 0x0A) & solid
+        cut[:-1] = ((buf[:-1] == 0x20) & solid) | line
+        cut[1:] |= line
+        cut[1:] |= (buf[1:] == 0x0A) & (buf[:-1] > 0x20) & (buf[:-1] < 0x7F)
+    cut[off[:-1][off[:-1] < off[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 #: Letters that stay one piece under either pre-tokenizer, and marks that make a piece of their own after them.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)").fullmatch
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|]*)").fullmatch
 
 
 class _Codes(dict):
@@ -63,7 +68,7 @@ class Encoder:
     which of the ids ends (or begins) a word tells them apart.
     """
 
-    def __init__(self, path: str, chunks: int = 700_000, pieces: int = 500_000):
+    def __init__(self, path: str, chunks: int = 900_000, pieces: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,37 +87,26 @@ class Encoder:
         for token, k in vocab.items():
             self._edge[k] = token.endswith("</w>") if self._kind == "words" else token.startswith("\u0120")
         self._chunk_limit, self._piece_limit = chunks, pieces
-        self._clear()
-
-    def _clear(self) -> None:
-        self._pieces = _Codes()
+        self._pieces, self._chunks = _Codes(), _Codes()
         self._ids, self._start, self._size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self._clear_chunks()
-
-    def _clear_chunks(self) -> None:
-        self._chunks = _Codes()
         self._parts = np.empty((0, 2), np.int64)
 
-    def _keys(self, text: str) -> list[str] | None:
-        """Chunks as cache keys: a leading space is left out, 0x00 marks that there was none. None: encode whole."""
-        if self._kind == "words":
-            return None if _SEPARATORS.search(text) else text.split()
-        if not text:
-            return []
-        if not (_ODD.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n"):
-            return ("\x00" + text.replace("\n", " \n")).split(" ")
-        if _SEPARATORS.search(text):
-            return None
-        return [c[1:] if c[0] == " " and len(c) > 1 and not c[1].isspace() else c if c[0] == "\n" and len(c) > 1 else "\x00" + c for c in _CHUNKS.findall(text)]
-
-    def _text(self, key: str) -> str:
-        if self._kind == "words" or not key or key[0] == "\n":
-            return key
-        return key[1:] if key[0] == "\x00" else " " + key
+    def _forget(self) -> None:
+        """Drops the newest entries beyond the limits; the frequent ones came first."""
+        n = self._piece_limit
+        if len(self._pieces) > n:
+            for key in list(itertools.islice(reversed(self._pieces), len(self._pieces) - n)):
+                del self._pieces[key]
+            self._ids, self._start, self._size = self._ids[: self._start[n]], self._start[:n], self._size[:n]
+        keep = min(self._chunk_limit, int(np.argmax(gone)) if (gone := (self._parts >= n).any(1)).any() else len(self._parts))
+        if len(self._chunks) > keep:
+            for key in list(itertools.islice(reversed(self._chunks), len(self._chunks) - keep)):
+                del self._chunks[key]
+            self._parts = self._parts[:keep]
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of words of letters, each after a space, by one call; and how many each word has."""
-        ids = np.array(self._of.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        """The ids of words of letters by one call, and how many each word has."""
+        ids = np.array(self._of.encode_batch_fast([(" " if self._kind == "words" else "").join(words)], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self._edge[ids])
         size = np.diff(np.r_[-1, at]) if self._kind == "words" else np.diff(np.r_[at, len(ids)])
         return (ids, size) if len(size) == len(words) and size.sum() == len(ids) else None
@@ -124,7 +118,7 @@ class Encoder:
             return
         size = np.full(len(new), -1, np.int64)
         order, flat = [], []
-        plain = [k for k, x in enumerate(new) if x.isalpha() and _SIMPLE(x)]
+        plain = [k for k, x in enumerate(new) if (x.isalpha() if self._kind == "words" else x[:1] == " " and x[1:].isalpha()) and _SIMPLE(x)]
         for a in range(0, len(plain), 4096):
             some = plain[a : a + 4096]
             got = self._together([new[k] for k in some])
@@ -133,12 +127,14 @@ class Encoder:
                 flat.append(got[0])
                 size[some] = got[1]
         rest = np.flatnonzero(size < 0).tolist()
-        for k, e in zip(rest, self._of.encode_batch_fast([self._text(new[k]) for k in rest], add_special_tokens=False), strict=True):
+        for k, e in zip(rest, self._of.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
             flat.append(np.array(e.ids, np.uint32))
             size[k] = len(e.ids)
         order = np.array(order + rest, np.int64)
         start = np.empty(len(new), np.int64)
-        start[order] = len(self._ids) + np.cumsum(size[order]) - size[order]
+        start[order] = np.cumsum(size[order]) - size[order]
+        flat = [np.concatenate(flat)[T.ragged(start, size)]]  # in the order of the numbers
+        start = len(self._ids) + np.cumsum(size) - size
         self._start = np.concatenate([self._start, start])
         self._size = np.concatenate([self._size, size])
         self._ids = np.concatenate([self._ids, *flat])
@@ -148,63 +144,53 @@ class Encoder:
         parts = np.empty((len(new), 2), np.int64)
         pieces, fold = self._pieces, self._kind == "words"
         none = pieces[""]
-        for k, x in enumerate(new):
+        for k, raw in enumerate(new):
+            x = raw.decode()
+            if fold:
+                x = x.rstrip(_BLANK)
             m = _SIMPLE(x)
             if m:
                 word, marks = m.groups()
-                parts[k] = pieces[word.lower() if fold else word], pieces[marks if fold else "\x00" + marks] if marks else none
+                parts[k] = pieces[word.lower() if fold else word], pieces[marks] if marks else none
             else:
                 parts[k] = pieces[x], none
         self._learn_pieces()
         self._parts = np.concatenate([self._parts, parts])
 
-    def _chunked(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._chunks) > self._chunk_limit:
-            self._clear_chunks()
-        if len(self._pieces) > self._piece_limit:
-            self._clear()
-        codes = np.array(list(map(self._chunks.__getitem__, keys)), np.int64)
+    def _chunked(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks between starts (the last one goes to the end), and how many each has."""
+        edges = np.r_[starts, len(buf)].astype(np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buf)]).dictionary_encode()
+        codes = np.array(list(map(self._chunks.__getitem__, chunks.dictionary.to_pylist())), np.int64)
         if self._chunks.new:
             self._learn_chunks()
-        at = self._parts[codes].ravel()
-        return self._ids[T.ragged(self._start[at], self._size[at])], self._size[at].reshape(-1, 2).sum(1)
-
-    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        out: list[np.ndarray] = []
-        n = np.zeros(len(texts), np.int64)
-        keys: list[str] = []
-        owner: list[int] = []
-        runs: list[int] = []
-
-        def flush() -> None:
-            if keys:
-                ids, size = self._chunked(keys)
-                edges = np.cumsum(runs)
-                total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], edges])]
-                np.add.at(n, owner, np.diff(total))
-                out.append(ids)
-                keys.clear()
-            owner.clear()
-            runs.clear()
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            for piece in _pieces(text) if self._kind != "whole" else [text]:
-                k = self._keys(piece) if self._kind != "whole" else None
-                if k is None:
-                    flush()
-                    whole = np.array(self._of.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.uint32)
-                    n[i] += len(whole)
-                    out.append(whole)
-                elif k:
-                    keys.extend(k)
-                    owner.append(i)
-                    runs.append(len(k))
-                    if len(keys) > 200_000:
-                        flush()
-        flush()
-        return np.concatenate(out) if out else np.empty(0, np.uint32), n
+        at = self._parts[codes[chunks.indices.to_numpy()]].ravel()
+        out = self._ids[T.ragged(self._start[at], self._size[at])], self._size[at].reshape(-1, 2).sum(1)
+        if len(self._chunks) > self._chunk_limit or len(self._pieces) > self._piece_limit:
+            self._forget()
+        return out
+
+    def ids(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        buf, off = T.buffers(texts)
+        if not len(buf):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        if self._kind == "whole":
+            found = [np.array(e.ids, np.uint32) for e in self._of.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+        buf = np.ascontiguousarray(buf)
+        starts = T.words(buf, off)[0] if self._kind == "words" else _cuts(buf, off)
+        parts, sizes = [], []
+        for at in range(0, len(starts), 2_000_000):  # of a very long text, some at a time
+            some = starts[at : at + 2_000_000]
+            to = int(starts[at + len(some)]) if at + len(some) < len(starts) else len(buf)
+            got = self._chunked(buf[:to], some)
+            parts.append(got[0])
+            sizes.append(got[1])
+        if not parts:
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        total = np.r_[0, np.cumsum(np.concatenate(sizes))]
+        return np.concatenate(parts), np.diff(total[np.searchsorted(starts, off)])
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

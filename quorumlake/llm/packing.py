@@ -123,8 +123,8 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, end: int = END, length:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("open", pa.bool_())])
         shape = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in T.slices(batches, "_text"):
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, off = with_end(*encoder(tokenizer).ids(texts), end)
+            doc_ids = batch.column(0).to_pylist()
+            ids, off = with_end(*encoder(tokenizer).ids(batch.column(1)), end)
             for i, doc_id in enumerate(doc_ids):
                 packer.add(doc_id, 0, int(off[i + 1] - off[i]), ids[off[i] : off[i + 1]])
             for window in packer.held.values():  # open windows keep copies, not the batch

@@ -105,7 +105,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end: int =
         squeeze = zstandard.ZstdCompressor(level=3)
         sent: set[bytes] = set()
         for batch in T.slices(batches, "_text"):
-            ids, off = with_end(*encoder(tokenizer).ids(batch.column(1).to_pylist()), end)
+            ids, off = with_end(*encoder(tokenizer).ids(batch.column(1)), end)
             rows = []
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 own = ids[off[i] : off[i + 1]]
