@@ -39,4 +39,4 @@ def by_province(members: DataFrame) -> DataFrame:
 
 def by_province_and_level(members: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif("province", F.lit("")), F.lit("Unknown")).alias("province")
-    return members.groupBy(name).pivot("government_level", ["federal", "provincial"]).agg(F.count("*")).na.fill(0, ["federal", "provincial"])
+    return members.groupBy(name).pivot("government_level", ["federal", "provincial"]).agg(F.count(F.lit(1))).na.fill(0, ["federal", "provincial"])
