@@ -228,7 +228,7 @@ def classes(docs: DataFrame, *, words: int, percent: int, k: int = COORDINATES)
     apart = member.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi").select("tok", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
     member = member.join(apart, "tok").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("tok", "rep", "n", "bits", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    member = member.select("tok", "rep", "n", "bits", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).repartition(parts, "tok", "i", "j")  # few bytes, much work: not for AQE to coalesce
     rest = staged(member.groupBy("tok", "i", "j").applyInArrow(_block_pairs(t, percent), "a bigint, b bigint").distinct().join(near, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(staged(_confirm(rest, texts, words, percent), "links"))
