@@ -5,19 +5,24 @@ Word n-grams (1 and 2 words, ASCII-lowered) and character n-grams (3 UTF-8
 bytes, case kept) are hashed to 32 bits. The features with the largest
 chi-square against either label are kept; the quality head reads a feature's
 share of the document, the toxic head its presence. Both are calibrated by
-Platt scaling on a fold that the fit did not see and compared with fixed
-thresholds.
+Platt scaling on scores of folds that the fit did not see, all rows in turn,
+and compared with fixed thresholds.
 
 The fit reads a bounded sample: `fit_rows` labelled documents of at most
-`fit_chars` code points, those with the smallest hash of their id. All else
-covers every whole text. Rows: a null text has no words and fails the base
-rule; without any label of both kinds a head is off and keeps all.
+`fit_chars` code points, of each combination of labels those with the smallest
+hash of their id. A rare combination gives up to an eighth of the sample, and
+calibration weighs rows by how many labels they stand for. All else covers
+every whole text. Rows: a null text has no words and fails the base rule; a
+head without LEAST sampled labels of either kind, or without a telling gram,
+is off and keeps all, and a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,9 @@ SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 FIT_ROWS = 6000
 FIT_CHARS = 32768
 N_FEATURES = 1024
+FOLDS = 4
+#: Labels of either kind that a head needs.
+LEAST = 8
 MIN_GOOD = 0.5
 MAX_TOXIC = 0.5
 
@@ -107,8 +115,11 @@ def _features(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield owner[2:][inside], three[inside] * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B), size
 
 
-def _fold(doc_id: int) -> int:
-    return int(T.mix(np.array([doc_id & T._MASK], np.uint64))[0] % np.uint64(4))
+def _folds(ids: list[int], y: np.ndarray) -> np.ndarray:
+    """A fold of each row; those of either label are dealt in turn, by the hash of their id."""
+    out = np.empty(len(ids), np.int64)
+    out[np.lexsort((T.mix(np.array([i & T._MASK for i in ids], np.uint64)), y))] = np.arange(len(ids)) % FOLDS
+    return out
 
 
 def _ascend(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -126,16 +137,16 @@ def _ascend(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 200) -> tuple[
     return w, b
 
 
-def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of 1 / (1 + exp(-(a * score + b))), with smoothed targets, by damped Newton steps."""
+def _platt(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """a, b of 1 / (1 + exp(-(a * score + b))) over weighted rows, with smoothed targets, by damped Newton steps."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     scale = max(float(score.std()), 1e-9)
     x = np.stack([score / scale, np.ones(len(score))], 1)
     t = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        g = x.T @ (p - target) + 1e-3 * t
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        g = x.T @ (weight * (p - target)) + 1e-3 * t
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         t = t - np.clip(np.linalg.solve(hess, g), -2, 2)
     return float(t[0] / scale), float(t[1])
 
@@ -191,11 +202,12 @@ def _chi2(with_pos: np.ndarray, with_all: np.ndarray, pos: int, n: int) -> np.nd
     return np.square(with_pos - expect) / var
 
 
-def fit(ids: list[int], texts: list[str], good: list[int], toxic: list[int], n_features: int = N_FEATURES) -> Model:
-    """Trains both heads; three quarters of the rows fit the weights, the rest the calibration."""
+def fit(ids: list[int], texts: list[str], good: list[int], toxic: list[int], n_features: int = N_FEATURES, weight: list[float] | None = None) -> Model:
+    """Trains both heads on all rows; calibration reads each row's score by weights fitted without its fold."""
     n = len(ids)
     y = {"good": np.array(good, float), "toxic": np.array(toxic, float)}
-    live = {k for k, v in y.items() if 8 <= v.sum() <= n - 8}
+    each = np.ones(n) if weight is None else np.array(weight) * n / sum(weight)
+    live = {k for k, v in y.items() if LEAST <= v.sum() <= n - LEAST}
     if not live:
         return Model()
     gram, by = [], []
@@ -222,28 +234,49 @@ def fit(ids: list[int], texts: list[str], good: list[int], toxic: list[int], n_f
     parts = [model.matrix(pa.array(texts[k : k + 256], pa.string())) for k in range(0, n, 256)]
     doc = np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)])
     col = np.concatenate([p[1] for p in parts])
-    held = np.array([_fold(i) == 0 for i in ids])
     for k, value, l2 in (("good", np.concatenate([p[2] for p in parts]), 1e-4), ("toxic", np.ones(len(doc)), 1e-3)):
-        if k not in live or not 4 <= y[k][held].sum() <= held.sum() - 4:
+        if k not in live:
             continue
         x = np.zeros((n, f), np.float32)
         x[doc, col] = value
-        scale = np.maximum(x[~held].std(0), 1e-3) if k == "good" else np.ones(f, np.float32)
-        w, _ = _ascend(x[~held] / scale, y[k][~held], l2)
-        w = (w / scale).astype(np.float64)
+        fold, score = _folds(ids, y[k]), np.empty(n)
+        for i in (*range(FOLDS), None):
+            seen = np.ones(n, bool) if i is None else fold != i
+            scale = np.maximum(x[seen].std(0), 1e-3) if k == "good" else np.ones(f, np.float32)
+            w, _ = _ascend(x[seen] / scale, y[k][seen], l2)
+            w = (w / scale).astype(np.float64)
+            score[~seen] = x[~seen].astype(np.float64) @ w
         setattr(model, k, w)
-        setattr(model, f"{k}_fit", _platt(x[held].astype(np.float64) @ w, y[k][held]))
+        setattr(model, f"{k}_fit", _platt(score, y[k], each))
     return model
 
 
+def _quotas(cells: dict[tuple[int, int], int], rows: int) -> dict[tuple[int, int], int]:
+    """How many of each combination of labels to take: all or an eighth of rows, and of what is left in proportion."""
+    if sum(cells.values()) <= rows:
+        return cells
+    base = {c: min(n, max(1, rows // 8)) for c, n in cells.items()}
+    left, rest = max(0, rows - sum(base.values())), sum(cells.values()) - sum(base.values())
+    return {c: base[c] + left * (n - base[c]) // max(1, rest) for c, n in cells.items()}
+
+
 def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Model:
     """Fits on the bounded sample described above. Several label rows of an id count as their means, at least a half is 1."""
     lab = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_good"), (F.avg("toxic") >= 0.5).cast("int").alias("_toxic"))
-    lab = lab.where("_id is not null and _good is not null and _toxic is not null").orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    lab = lab.where("_id is not null and _good is not null and _toxic is not null")
+    cells = {(r[0], r[1]): r[2] for r in lab.groupBy("_good", "_toxic").count().collect()}
+    taken = _quotas(cells, fit_rows)
+    some = [lab.where((F.col("_good") == g) & (F.col("_toxic") == t)).orderBy(F.xxhash64("_id"), "_id").limit(m) for (g, t), m in sorted(taken.items())]
+    lab = reduce(DataFrame.unionByName, some, lab.limit(0))
     picked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where((F.length("_text") > 0) & (F.length("_text") <= fit_chars))
     rows = picked.join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_good"), F.first("_toxic")).collect()
     rows.sort(key=lambda r: r[0])
-    return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]) if rows else Model()
+    weight = [cells[r[2], r[3]] / taken[r[2], r[3]] for r in rows]
+    model = fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], weight=weight) if rows else Model()
+    for name, on, k in (("quality", model.good_fit, 2), ("toxic", model.toxic_fit, 3)):
+        if not on:
+            warnings.warn(f"the {name} head is off and keeps all: {sum(r[k] for r in rows)} of {len(rows)} sampled labels are 1", stacklevel=2)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, min_good: float = MIN_GOOD, max_toxic: float = MAX_TOXIC) -> DataFrame:
