@@ -46,8 +46,13 @@ OTHER_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrum
 OTHER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: Elements whose content is no markup; those that end without an end tag.
+_RAW = frozenset("script style textarea title noscript iframe".split())
+_OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
+
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|=\s*(?:"[^"]*"|'[^']*')|.""", re.S)
+_KEYS = re.compile(r"\b(?:class|id|role|itemprop|hidden|aria-hidden|style)\b", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Log-odds that a mark adds; smoothness of neighbours by tree distance, and of next blocks of one parent.
@@ -70,9 +75,13 @@ def _mark(tag: str, attrs: str) -> tuple[int, bool]:
     """(mark, hidden) of an element by its own tag and attributes."""
     mark = 1 if tag in MAIN_TAGS else -1 if tag in OTHER_TAGS else 0
     hidden = False
-    if attrs and not attrs.isspace():
+    if attrs and _KEYS.search(attrs):
+        seen = set()
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+            if not key or key in seen:  # of attributes of one name the first counts
+                continue
+            seen.add(key)
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif key == "role":
@@ -183,17 +192,58 @@ def _skip(page: str, at: int, tag: str) -> int:
     if tag == "head":
         m = re.compile(r"</head\s*>|(?=<body\b)", re.I).search(page, at)
         return m.end() if m else len(page)
-    if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):
+    if tag in _RAW:
         m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
         return m.end() if m else len(page)
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else not m[0].endswith("/>")
-        if not depth:
-            return m.end()
+    stack = [tag]
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if not name:
+            continue
+        if m[1] or m[4]:
+            k = _closed(stack, name)
+            if k >= 0:
+                del stack[k:]
+            elif name in BLOCK_TAGS and tag in _OPEN_ENDED and name != "p":
+                return m.start()  # the end of an element around one whose end tag may be left out
+            if not stack:
+                return at
+            continue
+        if name in BLOCK_TAGS:
+            k = _implied(stack, name)
+            if k == 0 and tag in _OPEN_ENDED:
+                return m.start()
+            del stack[max(1, k) :]
+        if name in _RAW and not m[0].endswith("/>"):
+            at = _skip(page, at, name)
+        elif name not in VOID_TAGS and (not m[0].endswith("/>") or name in BLOCK_TAGS):
+            stack.append(name)
     return len(page)
 
 
+def _closed(stack: list[str], tag: str) -> int:
+    """The place of the open element that an end tag closes, or -1; an inline end tag doesn't close blocks."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] == tag:
+            return k
+        if tag not in BLOCK_TAGS and stack[k] in BLOCK_TAGS:
+            break
+    return -1
+
+
+def _implied(stack: list[str], tag: str) -> int:
+    """How many open elements stay when a block tag opens, by the rules of blocks(): a p and what _CLOSES names end."""
+    close = _CLOSES.get(tag, frozenset())
+    k = len(stack)
+    low = k
+    while k and (stack[k - 1] not in BLOCK_TAGS or stack[k - 1] == "p" or stack[k - 1] in close):
+        k -= 1
+        if stack[k] in BLOCK_TAGS:
+            low = k
+    return low
+
+
 def features(block: Block) -> list[float]:
     words = block.text.count(" ") + 1
     n = len(block.text)
