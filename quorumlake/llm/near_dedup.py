@@ -265,14 +265,22 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which each group keeps one: that with the smallest doc_id."""
+    """The rows of docs of which each group keeps one: that with the smallest doc_id. Rows of one doc_id with different texts count as different documents."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _keep_by_text(docs, words, percent)
     found = classes(docs, words=words, percent=percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        once = left.withColumn("_t", F.xxhash64("text")).withColumn("_k", F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()))
-        left = once.dropDuplicates(["_k", "doc_id"]).drop("_t", "_k")
-    return left
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def _keep_by_text(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """keep() by the hash of doc_id and text; of rows that are equal in both, one is left."""
+    own = docs.withColumn("_s", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    named = own.where("_s is not null")
+    found = classes(named.select(F.col("_s").alias("doc_id"), "text"), words=words, percent=percent).select(F.col("doc_id").alias("_s"), "component_id")
+    group = found.join(named.select("_s", F.col("doc_id").alias("_id")), "_s").groupBy("component_id").agg(F.min(F.struct("_id", "_s")).alias("_m"))
+    left = named.join(group.select(F.col("_m._s").alias("_s")), "_s", "left_semi").dropDuplicates(["_s"])
+    return left.unionByName(own.where("_s is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
