@@ -27,6 +27,18 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many more underscores in front as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a folder that shared_dir() named."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,7 +16,9 @@ smallest doc_id of its members is joined:
 4. Candidates are confirmed on full sets, the edge to a class's smallest
    candidate first; what is linked by then needs no further look.
 5. Long lists whose members are still in several components are compared whole,
-   in blocks; pairs of different components that pass the count are confirmed.
+   in blocks: a first pass finds members with a candidate of another component,
+   a second one carries their sets, confirms candidates where they meet and
+   returns a spanning forest of the links, so fewer rows than a block has.
 
 So each link between different texts is found or joins two classes that other
 links have joined. No step emits all pairs of a group. Rows: null and empty
@@ -36,13 +38,14 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import components
-from ._store import staged, table
+from ._store import free, staged, table
 
 COORDINATES = 32
 MISS = 1e-6
 #: Members of a list that are compared with each other at once; of a block.
-SUBLIST = 64
+SUBLIST = 16
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 
 _FACTORS = T.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -150,25 +153,70 @@ def _list_pairs(t: int, pct: int):
     return run
 
 
-def _block_pairs(t: int, pct: int):
-    """Candidates of different components between the two blocks of a group (tok, i, j)."""
+def _block(table_: pa.Table) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rep, n, component's number, and the rows of the two blocks) of a group (tok, i, j)."""
+    batch = table_.combine_chunks().to_batches()[0]
+    rep, n, comp, block, i, j = _arrays(batch, "rep", "n", "comp", "block", "i", "j")
+    return batch, rep, n, np.unique(comp, return_inverse=True)[1], np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+
+
+def _block_members(t: int, pct: int):
+    """Of the two blocks of a group (tok, i, j): the members that are a candidate with one of another component."""
 
     def run(table_: pa.Table) -> pa.Table:
-        batch = table_.combine_chunks().to_batches()[0]
-        rep, n, comp, block, i, j = _arrays(batch, "rep", "n", "comp", "block", "i", "j")
+        batch, _, n, comp, left, right = _block(table_)
         bits = _bits(batch)
-        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        out = []
+        near = np.zeros(len(n), bool)
         for a in left:
             b = right[comp[right] != comp[a]]
             got = _passing(np.full(len(b), a), b, n, bits, t, pct)
-            out.append(np.stack([np.maximum(rep[got[0]], rep[got[1]]), np.minimum(rep[got[0]], rep[got[1]])]))
-        got = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(got[0].astype(np.int64)), "b": pa.array(got[1].astype(np.int64))})
+            near[got[1]] = True
+            near[a] |= got.shape[1] > 0
+        return pa.Table.from_batches([batch.filter(pa.array(near))])
 
     return run
 
 
+def _block_links(t: int, pct: int):
+    """Links between the two blocks of a group (tok, i, j), confirmed on full sets: a spanning forest of the components."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        batch, rep, n, comp, left, right = _block(table_)
+        bits = _bits(batch)
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(batch.schema.get_field_index("set")).to_pylist()]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        has = np.zeros(place.max() + 1, bool)
+        out = []
+        for a in left:
+            b = right[comp[right] != comp[a]]
+            b = _passing(np.full(len(b), a), b, n, bits, t, pct)[1]
+            if not len(b):
+                continue
+            own = place[first[a] : first[a + 1]]
+            has[own] = True
+            common = np.add.reduceat(has[place[T.ragged(first[b], n[b])]].astype(np.int64), np.cumsum(n[b]) - n[b])
+            has[own] = False
+            for c in b[100 * common >= pct * (n[a] + n[b] - common)]:
+                if comp[c] != comp[a]:
+                    out.append((max(rep[a], rep[c]), min(rep[a], rep[c])))
+                    comp[comp == comp[c]] = comp[a]
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+
+    return run
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, set) of texts: the sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingles(batch.column(1), words)], pa.binary())], names=["rep", "set"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep bigint, set binary")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
 
@@ -213,25 +261,35 @@ def classes(docs: DataFrame, *, words: int, percent: int, k: int = COORDINATES)
     star = star.where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n) and {same} >= {t}")
     near = staged(near.unionByName(star.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b"))).distinct(), "candidates")
 
-    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).union(long.select("rep")).distinct()
-    wanted = wanted.join(reps.select("rep", "n", "x", "y"), "rep")
+    sizes = reps.select("rep", "n", "x", "y")
+    wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct().join(sizes, "rep")
     texts = staged(_texts(docs, wanted, words), "texts")
 
     nearest = near.groupBy("a").agg(F.min("b").alias("b"))
     links = staged(_confirm(nearest, texts, words, percent), "links")
     found = components(links)
-    more = _apart(near, found).join(nearest, ["a", "b"], "left_anti")
+    more = _apart(near, found)
     links = links.unionByName(staged(_confirm(more, texts, words, percent), "links"))
     found = staged(components(links), "components")
 
-    member = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", "bits", "length", F.coalesce("component", "rep").alias("comp"))
-    apart = member.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_m")).where("_lo < _hi").select("tok", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
+    member = long.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("tok", "rep", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+    apart = member.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_m"), F.sum("n").alias("_s")).where("_lo < _hi")
+    apart = apart.select("tok", F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = member.join(apart, "tok").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("tok", "rep", "n", "bits", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")).repartition(parts, "tok", "i", "j")  # few bytes, much work: not for AQE to coalesce
-    rest = staged(member.groupBy("tok", "i", "j").applyInArrow(_block_pairs(t, percent), "a bigint, b bigint").distinct().join(near, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(staged(_confirm(rest, texts, words, percent), "links"))
+
+    def met(rows: DataFrame, extra: list[str]) -> DataFrame:
+        """Each row once for every two blocks that it is in; few bytes, much work: not for AQE to coalesce."""
+        dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.select("tok", "rep", "n", "bits", "comp", "block", "blocks", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), *extra).repartition(parts, "tok", "i", "j")
+
+    dealt = met(member, [])
+    kept = staged(dealt.groupBy("tok", "i", "j").applyInArrow(_block_members(t, percent), dealt.schema), "members").drop("i", "j").distinct()
+    kept = staged(kept, "members")
+    if not kept.isEmpty():
+        wanted = kept.select("rep").distinct().join(sizes, "rep")
+        sets = staged(_sets(_texts(docs, wanted, words), words), "sets")
+        rest = met(kept.join(sets, "rep"), ["set"]).groupBy("tok", "i", "j").applyInArrow(_block_links(t, percent), "a bigint, b bigint")
+        links = links.unionByName(staged(rest.distinct(), "links"))
         found = staged(components(links), "components")
 
     by_class = reps.select("n", "x", "y", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "x", "y", F.coalesce("component", "rep").alias("component_id"))
@@ -269,18 +327,20 @@ def keep(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return _keep_by_text(docs, words, percent)
     found = classes(docs, words=words, percent=percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(gone.alias("gone"), docs["doc_id"].cast("long") == F.col("gone.doc_id"), "left_anti")
 
 
 def _keep_by_text(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """keep() by the hash of doc_id and text; of rows that are equal in both, one is left."""
-    own = docs.withColumn("_s", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
-    named = own.where("_s is not null")
-    found = classes(named.select(F.col("_s").alias("doc_id"), "text"), words=words, percent=percent).select(F.col("doc_id").alias("_s"), "component_id")
-    group = found.join(named.select("_s", F.col("doc_id").alias("_id")), "_s").groupBy("component_id").agg(F.min(F.struct("_id", "_s")).alias("_m"))
-    left = named.join(group.select(F.col("_m._s").alias("_s")), "_s", "left_semi").dropDuplicates(["_s"])
-    return left.unionByName(own.where("_s is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = docs.columns
+    row, key, id_ = free(names, "_row", "_key", "_id")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")).alias(key), F.col("doc_id").alias(id_), F.col("text").alias("text"))
+    named = own.where(F.col(key).isNotNull())
+    found = classes(named.select(F.col(key).alias("doc_id"), "text"), words=words, percent=percent).select(F.col("doc_id").alias(key), "component_id")
+    group = found.join(named.select(key, id_), key).groupBy("component_id").agg(F.min(F.struct(id_, key)).alias("_m"))
+    left = named.join(group.select(F.col(f"_m.{key}").alias(key)), key, "left_semi").dropDuplicates([key])
+    return left.unionByName(own.where(F.col(key).isNull())).select(*[F.col(f"{row}.`{c}`") for c in names])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
