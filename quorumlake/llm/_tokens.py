@@ -14,6 +14,7 @@ import itertools
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,17 @@ class Encoder:
         return np.concatenate(parts), np.diff(total[np.searchsorted(starts, off)])
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept by the Python worker for its next task."""
+    return Encoder(path)
+
+
+def release() -> None:
+    """Frees the encoders that an earlier stage has left in this Python worker."""
+    encoder.cache_clear()
+
+
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with `end` after each document, and the documents' offsets."""
     off = np.concatenate([[0], np.cumsum(n + 1)])

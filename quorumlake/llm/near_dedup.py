@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._graph import components
 from ._store import free, staged, table
+from ._tokens import release
 
 COORDINATES = 32
 MISS = 1e-6
@@ -83,6 +84,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in T.slices(batches, "_text"):
             rows = []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1), words), strict=True):

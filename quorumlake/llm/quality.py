@@ -12,7 +12,9 @@ The fit reads a bounded sample: `fit_rows` labelled documents of at most
 `fit_chars` code points, of each combination of labels those with the smallest
 hash of their id. A rare combination gives up to an eighth of the sample, and
 calibration weighs rows by how many labels they stand for. All else covers
-every whole text. Rows: a null text has no words and fails the base rule; a
+every whole text. Rows: a null text has no words and fails the base rule;
+repeated rows get equal results; an empty table gives none; columns of docs go
+along under any name; labels of one id count as their mean; a
 head without LEAST sampled labels of either kind, or without a telling gram,
 is off and keeps all, and a warning says so.
 """
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import table
+from ._store import staged, table
+from ._tokens import release
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -39,6 +42,8 @@ FIT_ROWS = 6000
 FIT_CHARS = 32768
 N_FEATURES = 1024
 FOLDS = 4
+#: Bytes of text whose grams are in memory at once.
+SLICE = 1 << 20
 #: Labels of either kind that a head needs.
 LEAST = 8
 MIN_GOOD = 0.5
@@ -196,54 +201,89 @@ class Model:
         return good, toxic
 
 
-def _chi2(with_pos: np.ndarray, with_all: np.ndarray, pos: int, n: int) -> np.ndarray:
-    expect = with_all * pos / n
-    var = np.maximum(expect * (1 - pos / n) * (1 - with_all / n), 1e-9)
-    return np.square(with_pos - expect) / var
+def _tally(sample: DataFrame) -> DataFrame:
+    """gram, n, good, toxic: in how many sampled documents a gram is, and in how many of either label. A slice of texts counts its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in T.slices(batches, "_text", SLICE):
+            good, toxic = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            for doc, gram, _ in _features(*T.buffers(batch.column(0))):
+                if not len(gram):
+                    continue
+                key = np.unique((gram.astype(np.uint64) << np.uint64(32)) | doc.astype(np.uint64))
+                of, gram = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
+                start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                sums = (np.diff(np.r_[start, len(gram)]), np.add.reduceat(good[of], start), np.add.reduceat(toxic[of], start))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[start]), *(pa.array(x.astype(np.int64)) for x in sums)], names=["gram", "n", "good", "toxic"])
+
+    rows = sample.select("_text", "_good", "_toxic").mapInArrow(run, "gram bigint, n bigint, good bigint, toxic bigint")
+    return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
+
+
+def _telling(tally: DataFrame, n: int, pos: dict[str, int], n_features: int) -> np.ndarray:
+    """The grams with the largest chi-square against a live label, ascending; n_features at most come to the driver."""
+    chosen: set[int] = set()
+    for k in sorted(pos):
+        share = pos[k] / n
+        expect = F.col("n") * F.lit(share)
+        chi2 = F.pow(F.col(k) - expect, F.lit(2)) / F.greatest(expect * F.lit(1 - share) * (1 - F.col("n") / F.lit(n)), F.lit(1e-9))
+        best = tally.where(F.col("n") >= max(5, n // 1000)).withColumn("_chi2", chi2).where("_chi2 > 10")
+        chosen |= {r[0] for r in best.orderBy(F.desc("_chi2"), "gram").limit(n_features // len(pos)).select("gram").collect()}
+    return np.array(sorted(chosen), np.uint32)
 
 
-def fit(ids: list[int], texts: list[str], good: list[int], toxic: list[int], n_features: int = N_FEATURES, weight: list[float] | None = None) -> Model:
-    """Trains both heads on all rows; calibration reads each row's score by weights fitted without its fold."""
-    n = len(ids)
-    y = {"good": np.array(good, float), "toxic": np.array(toxic, float)}
-    each = np.ones(n) if weight is None else np.array(weight) * n / sum(weight)
-    live = {k for k, v in y.items() if LEAST <= v.sum() <= n - LEAST}
+def _design(sample: DataFrame, model: Model) -> DataFrame:
+    """_id, _good, _toxic, cols (int32) and shares (float32) of the known grams of each sampled document."""
+    schema = pa.schema([("_id", pa.int64()), ("_good", pa.int32()), ("_toxic", pa.int32()), ("cols", pa.binary()), ("shares", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches, "_text", SLICE):
+            doc, col, share, _ = model.matrix(batch.column(3))
+            order = np.argsort(doc, kind="stable")
+            cut = np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
+            col, share = col[order].astype("<i4"), share[order].astype("<f4")
+            parts = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (col, share)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(p, pa.binary()) for p in parts)], schema=schema)
+
+    return sample.select(F.col("_id").cast("long"), "_good", "_toxic", "_text").mapInArrow(run, "_id bigint, _good int, _toxic int, cols binary, shares binary")
+
+
+def fit(sample: DataFrame, n_features: int = N_FEATURES, weights: dict[tuple[int, int], float] | None = None) -> Model:
+    """Trains both heads on all rows of sample (_id, _text, _good, _toxic); calibration reads each row's score by weights fitted without its fold.
+
+    Executors count grams and cut texts to the chosen ones; the driver gets the
+    chosen grams and, of each sampled document, their places.
+    """
+    cells = {(r[0], r[1]): r[2] for r in sample.groupBy("_good", "_toxic").count().collect()}
+    n = sum(cells.values())
+    pos = {"good": sum(m for (g, _), m in cells.items() if g), "toxic": sum(m for (_, t), m in cells.items() if t)}
+    live = {k: m for k, m in pos.items() if LEAST <= m <= n - LEAST}
     if not live:
         return Model()
-    gram, by = [], []
-    for at in range(0, n, 256):
-        for doc, g, _ in _features(*T.buffers(pa.array(texts[at : at + 256], pa.string()))):
-            key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | g)
-            gram.append((key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            by.append((key >> np.uint64(32)).astype(np.int64) + at)
-    names, at = np.unique(np.concatenate(gram), return_inverse=True)
-    by_doc = np.concatenate(by)
-    support = np.bincount(at, minlength=len(names))
-    best = np.zeros(len(names))
-    chosen: set[int] = set()
-    for k in sorted(live):
-        pos = np.bincount(at, weights=y[k][by_doc], minlength=len(names))
-        best = np.where(support >= max(5, n // 1000), _chi2(pos, support, int(y[k].sum()), n), 0)
-        top = np.argsort(-best, kind="stable")[: n_features // len(live)]
-        chosen |= set(top[best[top] > 10].tolist())
-    model = Model(grams=names[sorted(chosen)])
+    model = Model(grams=_telling(staged(_tally(sample), "quality-grams"), n, live, n_features))
     f = len(model.grams)
     model.good, model.toxic = np.zeros(f), np.zeros(f)
     if not f:
         return Model()
-    parts = [model.matrix(pa.array(texts[k : k + 256], pa.string())) for k in range(0, n, 256)]
-    doc = np.concatenate([p[0] + 256 * i for i, p in enumerate(parts)])
-    col = np.concatenate([p[1] for p in parts])
-    for k, value, l2 in (("good", np.concatenate([p[2] for p in parts]), 1e-4), ("toxic", np.ones(len(doc)), 1e-3)):
+    rows = sorted(_design(sample, model).collect(), key=lambda r: r[0])
+    ids = [r[0] for r in rows]
+    y = {"good": np.array([r[1] for r in rows], float), "toxic": np.array([r[2] for r in rows], float)}
+    each = np.array([(weights or {}).get((r[1], r[2]), 1.0) for r in rows])
+    each *= n / each.sum()
+    for k, l2 in (("good", 1e-4), ("toxic", 1e-3)):
         if k not in live:
             continue
         x = np.zeros((n, f), np.float32)
-        x[doc, col] = value
+        for i, r in enumerate(rows):
+            x[i, np.frombuffer(r[3], "<i4")] = np.frombuffer(r[4], "<f4") if k == "good" else 1
         fold, score = _folds(ids, y[k]), np.empty(n)
         for i in (*range(FOLDS), None):
             seen = np.ones(n, bool) if i is None else fold != i
-            scale = np.maximum(x[seen].std(0), 1e-3) if k == "good" else np.ones(f, np.float32)
-            w, _ = _ascend(x[seen] / scale, y[k][seen], l2)
+            part = x[seen]
+            scale = np.maximum(part.std(0), 1e-3) if k == "good" else np.ones(f, np.float32)
+            part /= scale
+            w, _ = _ascend(part, y[k][seen], l2)
             w = (w / scale).astype(np.float64)
             score[~seen] = x[~seen].astype(np.float64) @ w
         setattr(model, k, w)
@@ -269,32 +309,34 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, fit_c
     some = [lab.where((F.col("_good") == g) & (F.col("_toxic") == t)).orderBy(F.xxhash64("_id"), "_id").limit(m) for (g, t), m in sorted(taken.items())]
     lab = reduce(DataFrame.unionByName, some, lab.limit(0))
     picked = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where((F.length("_text") > 0) & (F.length("_text") <= fit_chars))
-    rows = picked.join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_good"), F.first("_toxic")).collect()
-    rows.sort(key=lambda r: r[0])
-    weight = [cells[r[2], r[3]] / taken[r[2], r[3]] for r in rows]
-    model = fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], weight=weight) if rows else Model()
-    for name, on, k in (("quality", model.good_fit, 2), ("toxic", model.toxic_fit, 3)):
+    sample = picked.join(F.broadcast(lab), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_good").alias("_good"), F.first("_toxic").alias("_toxic"))
+    sample = staged(sample, "quality-sample")
+    model = fit(sample, weights={c: cells[c] / m for c, m in taken.items() if m})
+    for name, on in (("quality", model.good_fit), ("toxic", model.toxic_fit)):
         if not on:
-            warnings.warn(f"the {name} head is off and keeps all: {sum(r[k] for r in rows)} of {len(rows)} sampled labels are 1", stacklevel=2)
+            warnings.warn(f"the {name} head is off and keeps all: too few sampled labels of a kind ({taken} by good, toxic), or no telling gram", stacklevel=2)
     return model
 
 
 def score(docs: DataFrame, model: Model, *, min_good: float = MIN_GOOD, max_toxic: float = MAX_TOXIC) -> DataFrame:
     """All columns of docs, with the counts, p_good, p_toxic, base_failed and kept (these names replace columns of docs)."""
     new = [*COUNTS, "p_good", "p_toxic", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in new]
-    out = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in COUNTS), "p_good double, p_toxic double, base_failed boolean, kept boolean"])
+    keep = [c for c in docs.columns if c.lower() not in new]
+    plain = docs.select(*[F.col(f"`{c}`") for c in keep]).toDF(*[f"_{k}" for k in range(len(keep))])  # mapInArrow can't resolve a name with a dot
+    place = keep.index("text")
+    out = ", ".join([*(f"_{k} {x.dataType.simpleString()}" for k, x in enumerate(plain.schema)), *(f"{c} bigint" for c in COUNTS), "p_good double, p_toxic double, base_failed boolean, kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text"))
+        release()
+        for batch in T.slices(batches, f"_{place}", SLICE):
+            texts = batch.column(place)
             c = counts(texts)
             failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
             good, toxic = model.scores(texts)
             cols = [*batch.columns, *(pa.array(c[k], pa.int64()) for k in COUNTS), pa.array(good), pa.array(toxic), pa.array(failed), pa.array(~failed & (good >= min_good) & (toxic < max_toxic))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *new])
 
-    return docs.select(*keep).mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*keep, *new)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,15 +347,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, *, min_good: float = MIN_GOOD, max_toxic: float = MAX_TOXIC) -> DataFrame:
     """The rows of docs that score() would mark as kept, unchanged."""
+    place = docs.columns.index("text")
+    plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text"))
+        release()
+        for batch in T.slices(batches, f"_{place}", SLICE):
+            texts = batch.column(place)
             c = counts(texts)
             good, toxic = model.scores(texts)
             yield batch.filter(pa.array((c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"]) & (good >= min_good) & (toxic < max_toxic)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

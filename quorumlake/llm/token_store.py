@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._order import quantiles, running, search
 from ._store import shared_dir, table
-from ._tokens import Encoder, with_end
+from ._tokens import encoder, with_end
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 2
@@ -51,11 +50,6 @@ BUCKET_ROWS = 20_000
 _RAW = "kind string, digest binary, n bigint, payload binary, doc_id bigint, digests array<binary>, sizes array<bigint>, root binary"
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def cuts(ids: np.ndarray, bits: int = BITS, shortest: int = SHORTEST, longest: int = LONGEST) -> list[int]:
     """Ends of the chunks of a sequence. The hash at i is the sum of g(id[i-k]) << k for k below 16."""
     h = T.mix(ids.astype(np.uint64) + np.uint64(0x51ED270B))
