@@ -10,17 +10,16 @@ very end holds all padding (none, if its length is a power of two).
 
 Memory: the open windows and one batch for a partition, the left windows of
 `fan_in` partitions for a merge. Rows: an empty or null text is its end id
-alone; repeated rows are packed as often as they are there.
+alone; repeated rows are packed as often as they are there; a null doc_id stays
+null, and other columns aren't read. An empty table has no pieces.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import staged, table
-from ._tokens import Encoder, with_end
+from ._tokens import encoder, with_end
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 1
@@ -38,12 +37,11 @@ WINDOWS = 64
 FAN_IN = 32
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, part bigint, open boolean"
-_COLUMNS = [x.split()[0] for x in PIECE.split(", ")]
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("open", pa.bool_())])
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _shape(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 class Packer:
@@ -99,17 +97,16 @@ def _rows(windows: list[list[tuple]], first: int, part: int, opened: bool) -> li
 
 
 def _merge(length: int, windows: int, level: int, last: bool):
-    def run(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pa.Table) -> pa.Table:
         packer = Packer(length, 1 if last else windows)
-        for r in left.sort_values(["sequence_id", "offset"]).itertuples():
-            packer.add(r.doc_id if not pd.isna(r.doc_id) else None, r.start, r.doc_tokens, np.frombuffer(r.ids, "<u4"))
-        part = int(key[0])
+        left = left.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        for doc_id, start, doc_tokens, ids in zip(*(left[c].to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+            packer.add(doc_id, start, doc_tokens, np.frombuffer(ids, "<u4"))
+        part = key[0].as_py()
         base = (level << 56) + (part << 32)
         rows = _rows(packer.done, base, part, False)
         rows += _rows(packer.left(), base + len(packer.done), part, not last)
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return pa.Table.from_batches([_shape(rows)])
 
     return run
 
@@ -120,8 +117,6 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, end: int = END, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer, first = Packer(length, windows), part << 32
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("part", pa.int64()), ("open", pa.bool_())])
-        shape = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in T.slices(batches, "_text"):
             doc_ids = batch.column(0).to_pylist()
             ids, off = with_end(*encoder(tokenizer).ids(batch.column(1)), end)
@@ -130,11 +125,11 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, end: int = END, length:
             for window in packer.held.values():  # open windows keep copies, not the batch
                 window[:] = [(d, s, t, x if x.base is None else x.copy()) for d, s, t, x in window]
             if packer.done:
-                yield shape(_rows(packer.done, first, part, False))
+                yield _shape(_rows(packer.done, first, part, False))
                 first += len(packer.done)
                 packer.done = []
         if packer.held:
-            yield shape(_rows(packer.left(), first, part, True))
+            yield _shape(_rows(packer.left(), first, part, True))
 
     placed = staged(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(run, PIECE), "packed")
     out = placed.where(~F.col("open"))
@@ -142,7 +137,7 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, end: int = END, length:
     parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level, last = level + 1, parts <= fan_in
-        merged = left.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("part").applyInPandas(_merge(length, windows, level, last), PIECE)
+        merged = left.withColumn("part", F.expr(f"part div {fan_in}")).groupBy("part").applyInArrow(_merge(length, windows, level, last), PIECE)
         merged = staged(merged, "packed-left")
         out = out.unionByName(merged.where(~F.col("open")))
         if last:
