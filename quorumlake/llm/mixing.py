@@ -13,6 +13,7 @@ No source's rows meet in one task: sums by source and key bucket find the
 bucket in which the rest ends, and only its rows are sorted. The window over
 sources has one row each. Rows: null and empty texts have size 0 and take no
 words; a null source is one source; repeated rows with equal ids share a key.
+Columns other than doc_id, text and source go along under any name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import staged, table
+from ._store import free, staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -91,9 +92,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, *, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed corpus: rows of docs as often as the mix takes them, with the columns of docs. Rows of size 0 stay once."""
-    times = counted(docs, most=most, seed=seed).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("times"))).cast("int").alias("_times"))
-    joined = docs.withColumn("_hash2", F.xxhash64("text")).join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash")))
-    return joined.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, hash_, own, times, n = free(docs.columns, "_id", "_hash", "_own", "_times", "_n")
+    drawn = counted(docs, most=most, seed=seed).groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("times"))).cast("int").alias(times))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(drawn, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)))
+    return joined.where(F.col(times) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
