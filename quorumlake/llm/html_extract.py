@@ -4,15 +4,19 @@ A page becomes text blocks, the runs of text between block-level tags, with
 their places in the element tree. A logistic classifier over a block's own
 features (length, link share, punctuation, tag) gives log-odds, a block's
 innermost marked ancestor (article or main; nav, footer, form, a class such as
-"sidebar") shifts them, and the result is the block's capacity to the source
+"sidebar" or "site-footer", but not "has-sidebar") shifts them by a bounded
+term, and the result is the block's capacity to the source
 (content) or the sink (boilerplate). Neighbouring blocks, and next blocks of
 one parent, are joined by smoothness edges that weaken with their distance in
 the tree. Max-flow gives the cut of least cost; the source's side is content.
+A mark is overruled where neighbours of one parent and a sure classifier
+outweigh it; a mark alone or text alone doesn't decide.
 
 The classifier is trained on a bounded sample of `fit_pages` pages, those with
 the smallest hash of url; its labels are the marks, which it doesn't see.
 Scripts, styles, comments and hidden elements never become blocks. Rows: a null
-or empty page has the text ''. Unclosed and stray tags are tolerated.
+or empty page has the text ''; repeated rows give repeated rows; an empty table
+gives none; other columns aren't read. Unclosed and stray tags are tolerated.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +43,13 @@ FIT_CHARS = 200_000
 # What HTML and common practice call things.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript template iframe svg math object canvas textarea select button title head".split())
+SKIPPED_TAGS = frozenset("script style noscript template iframe svg canvas textarea select button title head".split())
 MAIN_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_NAMES = frozenset("article articlebody content entry main post story".split())
 OTHER_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer form header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promotion recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split())
+#: Words that a class name may have beside those above without changing what it says.
+PLAIN_NAMES = frozenset("area bar block body bottom box container div element global inner item items left links list outer page post posts primary right row secondary section site text thread title top wrap wrapper".split())
 OTHER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -57,7 +64,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Log-odds that a mark adds; smoothness of neighbours by tree distance, and of next blocks of one parent.
 MAIN_SHIFT, OTHER_SHIFT = 5.0, -8.0
-LIMIT = 4.0
+#: Bounds of the classifier's own log-odds.
+LOW, HIGH = -4.0, 6.0
 NEAR, FAR, SIBLING = 1.5, 0.3, 1.0
 
 
@@ -71,6 +79,15 @@ class Block:
     depth: int
 
 
+@lru_cache(1 << 14)
+def _said(name: str) -> int:
+    """What a whole class name says: 1 main, -1 other, 0 neither. All its words must be known."""
+    names = {x.lower() for x in _NAME.findall(name)}
+    if name.lower() in OTHER_NAMES or (names & OTHER_NAMES and names <= OTHER_NAMES | PLAIN_NAMES):
+        return -1
+    return int(name.lower() in MAIN_NAMES or (bool(names & MAIN_NAMES) and names <= MAIN_NAMES | PLAIN_NAMES))
+
+
 def _mark(tag: str, attrs: str) -> tuple[int, bool]:
     """(mark, hidden) of an element by its own tag and attributes."""
     mark = 1 if tag in MAIN_TAGS else -1 if tag in OTHER_TAGS else 0
@@ -87,11 +104,9 @@ def _mark(tag: str, attrs: str) -> tuple[int, bool]:
             elif key == "role":
                 mark = -1 if value in OTHER_ROLES else 1 if value in ("main", "article") else mark
             elif key in ("class", "id", "itemprop"):
-                names = {x.lower() for x in _NAME.findall(value)} | {x.lower() for x in value.split()}
-                if names & OTHER_NAMES:
-                    mark = -1
-                elif names & MAIN_NAMES and not mark:
-                    mark = 1
+                said = {_said(x) for x in value.split()}
+                if tag not in MAIN_TAGS:
+                    mark = -1 if -1 in said else mark or max(said, default=0)
     return mark, hidden
 
 
@@ -325,7 +340,7 @@ def label(found: list[Block], weights: tuple[float, ...] = PLAIN) -> list[bool]:
     if not found:
         return []
     x = np.array([features(b) for b in found])
-    odds = np.clip(x @ np.array(weights), -LIMIT, LIMIT)
+    odds = np.clip(x @ np.array(weights), LOW, HIGH)
     odds = odds + np.array([MAIN_SHIFT if b.mark > 0 else OTHER_SHIFT if b.mark < 0 else 0.0 for b in found])
     edges = []
     last: dict[int, int] = {}
@@ -348,7 +363,9 @@ def extract(page: str | None, weights: tuple[float, ...] = PLAIN) -> str:
 
 def train(pages: DataFrame, *, fit_pages: int = FIT_PAGES, fit_chars: int = FIT_CHARS) -> tuple[float, ...]:
     """Weights from the marked blocks of the sample; PLAIN where either label has under 20 blocks."""
-    rows = pages.where(F.length("html").between(1, fit_chars)).select(F.xxhash64("url", "html").alias("_h"), F.col("html")).orderBy("_h", "html").limit(fit_pages).collect()
+    named = pages.where(F.length("html").between(1, fit_chars)).select(F.xxhash64("url", "html").alias("_h"), F.col("html"))
+    least = [r[0] for r in named.select("_h").distinct().orderBy("_h").limit(fit_pages).collect()]  # hashes first, so that no task sends its own pages
+    rows = sorted(named.where(F.col("_h").isin(least)).dropDuplicates(["_h"]).collect()) if least else []
     found = [b for r in rows for b in blocks(r[1]) if b.mark]
     y = np.array([b.mark > 0 for b in found], float)
     if not 20 <= y.sum() <= len(y) - 20:
