@@ -15,7 +15,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Chaining, the n-gram classifier and tokenizers aren't expressible in SQL; tests/llm checks the stages one by one (ids, columns, lengths), and run() has no plain version.
+#: Chaining, the n-gram classifier and tokenizers aren't expressible in SQL; tests/llm checks the stages one by one and run() on odd rows and an empty table, and run() has no plain version.
 ORACLE_SQL = None
 
 

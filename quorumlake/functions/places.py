@@ -92,3 +92,8 @@ def jurisdiction_key(province: Column) -> Column:
     table["QUÉBEC"] = "provincial-QC"
     table.pop("NWT")
     return F.coalesce(lookup(table, F.upper(F.trim(province))), F.lit(""))
+
+
+def status_text(status: Column) -> Column:
+    plain = F.trim(status)
+    return F.when(plain == "in_session", "in session").when(plain == "on_break", "on break").otherwise("status unavailable")

@@ -73,9 +73,30 @@ def head_and_tail(text: Column, limit: int = 150_000, head: int = 120_000, tail:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(head)), F.lit(mark), F.right(text, F.lit(tail)))).otherwise(text)
 
 
+# Accented letters of a slug and what stands for them; other letters beyond a-z are dropped.
+SLUG_FROM, SLUG_TO = "àâäçèéêëîïôöùûüÿ", "aaaceeeeiioouuuy"
+
+
 def slug(name: Column) -> Column:
-    plain = F.translate(F.lower(F.trim(name)), "àâäáçéèêëîïíôöóùûüúÿñ", "aaaaceeeeiiiooouuuuyn")
-    return F.trim(F.regexp_replace(F.replace(F.replace(plain, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Lower-case words joined by hyphens; spaces, hyphens, underscores and apostrophes part words, other characters are dropped."""
+    plain = F.translate(F.lower(F.trim(name)), SLUG_FROM, SLUG_TO)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9 _'-]", ""), "[ _'-]+", "-"), F.lit("-"))
+
+
+def folded(text: Column) -> Column:
+    """Letters of western European languages without their accents."""
+    return F.translate(text, "ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàâäáãåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
+
+
+def person_name(text: Column) -> Column:
+    """Whether a text may be a person's name: a letter first, a lower-case letter, and no word of digits alone."""
+    plain = F.trim(text)
+    return F.coalesce(plain.rlike(r"^\p{L}") & plain.rlike(r"\p{Ll}") & ~plain.rlike(r"(?:^|\s)\p{Nd}+(?:\s|$)"), F.lit(False))
+
+
+def vote_token(token: Column) -> Column:
+    """A word of a vote list without the marks around it."""
+    return F.regexp_replace(F.regexp_replace(token, r"""[.,;:)'"\\]+$""", ""), r"""^[('"]+""", "")
 
 
 def initial(text: Column) -> Column:

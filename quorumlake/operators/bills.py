@@ -124,3 +124,9 @@ def visible_pages(pages: Column, now: Column) -> Column:
     gap = lambda when: F.when(when, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
     some = F.concat(F.array(F.lit(1)), gap(start > 2), F.sequence(start.cast("int"), end.cast("int")), gap(end < pages - 1), F.array(pages.cast("int")))
     return F.when(pages <= 5, F.sequence(F.lit(1), F.greatest(pages, F.lit(1)).cast("int"))).otherwise(some)
+
+
+def timeline(stages: DataFrame) -> DataFrame:
+    """bill_id, current_stage (the last in the timeline's order, later rows last among equals) and introduced (date of the first first reading)."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in P.TIMELINE]), F.col("stage")), F.lit(0)), F.lit(99))
+    return stages.withColumn("_place", place).groupBy("bill_id").agg(F.max_by("stage", F.struct("_place", "pos")).alias("current_stage"), F.min_by(F.when(F.col("stage") == "1st_reading", F.col("date")), F.when(F.col("stage") == "1st_reading", F.col("pos"))).alias("introduced"))

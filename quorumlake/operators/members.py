@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import places as P
@@ -40,3 +40,27 @@ def by_province(members: DataFrame) -> DataFrame:
 def by_province_and_level(members: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif("province", F.lit("")), F.lit("Unknown")).alias("province")
     return members.groupBy(name).pivot("government_level", ["federal", "provincial"]).agg(F.count(F.lit(1))).na.fill(0, ["federal", "provincial"])
+
+
+def at_level(level: str) -> Column:
+    """Whether a member sits at a level, by government level or else by chamber."""
+    chamber = F.lower(F.trim(F.coalesce("chamber", F.lit(""))))
+    own = F.lower(F.coalesce("government_level", F.lit(""))) == level
+    return own | (~chamber.isin("", "commons", "senate") if level == "provincial" else chamber.isin("", "commons", "senate"))
+
+
+# Titles of provincial offices, and what a longer title of one holds.
+OFFICES = ("mla", "mpp", "mna", "mha", "member of the legislative assembly", "member of provincial parliament", "member of the national assembly", "member of the house of assembly")
+ASSEMBLIES = ("legislative assembly", "national assembly", "provincial parliament", "house of assembly")
+
+
+def provincial_office(office: Column) -> Column:
+    plain = F.lower(F.trim(office))
+    bare = F.trim(F.regexp_replace(plain, r"\(.*", ""))
+    return bare.isin(*OFFICES) | plain.rlike("|".join(ASSEMBLIES))
+
+
+def of_riding(members: DataFrame, riding: str, level: str) -> DataFrame:
+    """One member for a riding: an exact one first, then one whose riding holds the words, at the level."""
+    fits = members.where(contains(F.col("riding"), riding) & at_level(level))
+    return fits.orderBy(F.when(F.lower("riding") == riding.lower(), 0).otherwise(1), "name", "id").limit(1)

@@ -106,7 +106,9 @@ def missed_votes(member_id, votes: DataFrame, members: DataFrame, divisions: Dat
     during = divisions.join(F.broadcast(who), in_term(F.col("date"), F.col("term_start"), F.col("term_end")))  # one row
     own = votes.where(F.col("member_id") == member_id).select(F.col("division_id").alias("id"))
     missed = during.join(own, "id", "left_anti").orderBy(F.desc("date"), F.desc("id")).limit(limit)
-    out = missed.select(F.col("id").alias("division_id"), "party").join(_linked(divisions, bills), "division_id").join(party_majority(votes, members).select("division_id", "party", "majority"), ["division_id", "party"], "left")
+    few = missed.select(F.col("id").alias("division_id"), "party")  # `limit` rows at most: only their votes are counted
+    tally = party_majority(votes.join(few.select("division_id"), "division_id", "left_semi"), members.join(who.select("party"), "party", "left_semi"))
+    out = few.join(_linked(divisions, bills), "division_id").join(tally.select("division_id", "party", "majority"), ["division_id", "party"], "left")
     return out.select("division_id", "date", "bill_id", "bill_number", "bill_title", "description", "result", F.coalesce("majority", F.lit("Split")).alias("party_majority"))
 
 

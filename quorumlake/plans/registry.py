@@ -6,8 +6,6 @@ they read. Both give the same column names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,26 +21,8 @@ from ..operators import members as M
 from ..operators import merge as G
 from ..operators import reactions as R
 from ..operators import votes as O
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-#: The day that session status is asked for, and the member whose listings are shown.
-AS_OF = "1998-03-02"
-MEMBER, OTHER = 7, 8
-
-
-def query(name: str, sql: str | None = None):
-    def add(run: Query) -> Query:
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = f"WITH {V.SQL.strip()}\n{sql.strip()}"
-        return run
-
-    return add
-
+from . import pages, rules, writes  # noqa: F401  these register their queries
+from .catalog import AS_OF, MEMBER, ORACLES, OTHER, QUERIES, query  # noqa: F401
 
 _TALLY = """
 tally AS (

