@@ -97,3 +97,76 @@ def vote_counts(texts: DataFrame) -> DataFrame:
     number = F.row_number().over(W.partitionBy("text_id").orderBy("pos"))
     result = F.when(F.col("nays") > F.col("yeas"), "Negatived").otherwise("Carried")
     return rows.select("text_id", number.alias("number"), "yeas", "nays", result.alias("result"), names(F.substring("s", F.lit(1), cut - 1)).alias("yea_names"), names(F.substring("s", cut, F.length("s"))).alias("nay_names"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The quoted value of an attribute of a piece's first tag, else ''."""
+    return F.regexp_extract(tag, rf"""(?is)^\s*<[a-z]+\b[^>]*?\s{name}\s*=\s*["']([^"']*)["']""", 1)
+
+
+def _whole_cells(page: Column, least: int) -> Column:
+    """array<array<string>>: the cells, each with its own tag, of table rows with `least` cells or more."""
+    return F.filter(F.transform(_all(page, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), lambda r: _all(r, r"(?is)(<td\b[^>]*>.*?)</td\s*>")), lambda r: F.size(r) >= least)
+
+
+def upper_house_index(pages: DataFrame, parliament: int, session: int, host: str) -> DataFrame:
+    """page_id, id, number, date, bill_number, description, yeas, nays, result, detail_url of each row of a page's first table.
+
+    Cells: date, whose data-order ends in the number; title link with 'Yeas: n' and 'Nays: n'; bill; result.
+    Rows with fewer cells or without a number above 0 are no divisions.
+    """
+    table = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<table\b.*?</table\s*>", 0)
+    rows = pages.select("page_id", F.explode(_whole_cells(table, 4)).alias("c"))
+    c = lambda k: F.col("c")[k]
+    titled = F.regexp_extract(c(1), r"(?is)<a\b[^>]*\bvote-web-title-link\b[^>]*>.*?</a", 0)
+    first = F.regexp_extract(c(1), r"(?is)<a\b[^>]*>.*?</a", 0)
+    said = lambda a: plain(F.regexp_replace(a, r"(?i)</a$", ""))
+    counted = lambda word: F.coalesce(F.regexp_extract(plain(c(1)), rf"{word}:\s*(\d+)", 1).try_cast("int"), F.lit(0))
+    link = _attribute(titled, "href")
+    number = F.regexp_extract(_attribute(c(0), "data-order"), r"(?:^|\s)(\d+)\s*$", 1).try_cast("int")
+    found = rows.select(
+        "page_id", number.alias("number"), D.parse(plain(c(0))).alias("date"), I.bill_number(F.regexp_replace(plain(c(2)), r"\s", "")).alias("bill_number"), F.coalesce(F.nullif(said(titled), F.lit("")), said(first)).alias("description"),
+        counted("Yeas").alias("yeas"), counted("Nays").alias("nays"), plain(c(3)).alias("result"), F.when((link == "") | link.startswith("http"), link).otherwise(F.concat(F.lit(host), link)).alias("detail_url"),
+    )
+    return found.where("number > 0").withColumn("id", F.concat(F.lit("senate-"), I.division_id(F.lit(parliament), F.lit(session), F.col("number"))))
+
+
+def _marked(cell: Column) -> Column:
+    """Whether a vote's cell is marked: by its sort key, a cross icon or a cross."""
+    return (F.lower(F.trim(_attribute(cell, "data-order"))) == "aaa") | cell.rlike(r"""(?is)\bclass=["'][^"']*\bfa-times(?![\w-])""") | plain(cell).isin("×", "X", "&times;", "&#215;")
+
+
+def _listed(page: Column, vote: str) -> Column:
+    """Links in the lists of one vote: those of the first kind of list class that has any."""
+    low = vote.lower()
+    token = lambda name: rf"(?:[^\"']*\s)?{name}(?:\s[^\"']*)?"
+    kinds = [(r"\w+", token(f"vote-{low}")), ("ul", token(low)), (r"\w+", rf"[^\"']*{vote}[^\"']*")]
+    found = [F.flatten(F.transform(F.regexp_extract_all(page, F.lit(rf"""(?s)<({tag})\b[^>]*\bclass=["']{name}["'][^>]*>(.*?)</\1\s*>"""), F.lit(2)), lambda b: _all(b, r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["']"""))) for tag, name in kinds]
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array().cast("array<string>"))
+
+
+def upper_house_detail(pages: DataFrame) -> DataFrame:
+    """division_id, member_id, vote: from the rows of the table of votes, whose cells 4 to 6 mark yea, nay or abstention, else from lists of links by vote.
+
+    A row without a member's link or a mark is no vote. A list ends with the first end tag of its kind.
+    """
+    html = F.coalesce("html", F.lit(""))
+    table = F.regexp_extract(html, r"""(?is)<table\b[^>]*\bid=["']sc-vote-details-table["'].*?</table\s*>""", 0)
+    c = lambda r, k: F.element_at(r, k)
+    ballot = lambda href, vote: F.struct(I.upper_member_id(href).alias("member_id"), vote.alias("vote"))
+    said = lambda r: F.when(_marked(c(r, 4)), "Yea").when(_marked(c(r, 5)), "Nay").when(_marked(c(r, 6)), "Abstain")
+    rows = F.transform(_whole_cells(table, 6), lambda r: ballot(F.regexp_extract(c(r, 1), r"""(?is)<a\b[^>]*\bhref=["']([^"']*)["']""", 1), said(r)))
+    rows = F.filter(rows, lambda x: (x["member_id"] != "") & x["vote"].isNotNull())
+    listed = lambda vote: F.transform(_listed(html, vote), lambda href: ballot(href, F.lit(vote)))
+    lists = F.flatten(F.array(*[listed(vote) for vote in ("Yea", "Nay", "Abstain")]))
+    kept = pages.select("division_id", F.when(F.size(rows) > 0, rows).otherwise(F.filter(lists, lambda x: x["member_id"] != "")).alias("x"))
+    return kept.select("division_id", F.inline("x"))
+
+
+def vote_links(pages: DataFrame, matcher: str, most: int = 40) -> DataFrame:
+    """page_id, link: the last `most`, in order of the address, of a page's links whose text or address matches; each once, resolved against the page's url."""
+    anchor = F.explode(_all(F.col("html"), r"(?is)(<a\b[^>]*\bhref=.*?)</a\s*>")).alias("a")
+    rows = pages.select("page_id", "url", anchor).withColumn("href", _attribute(F.col("a"), "href"))
+    rows = rows.where(F.col("href") != "").where(F.concat_ws(" ", plain(F.col("a")), "href").rlike(matcher))
+    rows = rows.select("page_id", I.resolved(F.col("url"), F.col("href")).alias("link")).distinct()
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("link")))).where(F.col("_n") <= most).drop("_n")
