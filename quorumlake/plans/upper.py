@@ -108,10 +108,11 @@ def reaction_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """, edge AS (SELECT min("at") + (max("at") - min("at")) // 2 AS now FROM attempts) SELECT event_id, user_id FROM attempts, edge WHERE event_id % 2 = 0 AND "at" + 3600000000 >= now""",
 )
 def session_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of presented tokens: sessions are stored by the token's hash and hold up to their end."""
+    """Users of presented tokens: sessions are stored by the token's hash and hold up to their end. Every other token shown is unknown."""
     a = V.attempts(spark, sf_dir)
     token = F.concat(F.lit("t"), F.col("event_id").cast("string"))
     stored = a.select(F.sha2(token, 256).alias("id"), "user_id", (F.col("at") + 3_600_000_000).alias("ends"))
-    asked = a.where("event_id % 2 = 0").select("event_id", F.sha2(token, 256).alias("id"))
+    shown = F.when(F.col("event_id") % 2 == 0, token).otherwise(F.concat(F.lit("x"), token))
+    asked = a.select("event_id", F.sha2(shown, 256).alias("id"))
     edge = a.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select(F.expr("lo + (hi - lo) div 2").alias("now"))
     return asked.join(stored, "id").join(F.broadcast(edge), F.col("ends") >= F.col("now")).select("event_id", "user_id")
