@@ -30,7 +30,7 @@ def _joined(*parts: Column) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return T.collapse(F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " "), F.lit(" "), F.lit(" ")))
+    return T.collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " "))
 
 
 def _named(text: Column) -> Column:

@@ -83,6 +83,15 @@ _HEAD = r"(?i)\byeas?\b[\s:.\-–—]*(\d+)"
 _MARKED = r"(?i)\bnays?\b[\s:.\-–—]*(\d+)"
 
 
+# Capitalised words of a report that are no names.
+REPORT_WORDS = ("YEA", "YEAS", "NAY", "NAYS", "MR", "MS", "MRS", "HON", "THE", "CARRIED", "DEFEATED", "DIVISION", "TOTAL")
+
+
+def surnames(text: Column) -> Column:
+    """Capitalised words of a list of names, each once, without words of the report itself."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[\s\u00a0]+"), T.vote_token), lambda w: w.rlike(r"^[A-Z].") & ~F.upper(w).isin(*REPORT_WORDS)))
+
+
 def vote_counts(texts: DataFrame) -> DataFrame:
     """text_id, number, yeas, nays, result, yea_names, nay_names: the divisions that a report's text counts as yeas and nays, in order.
 
@@ -92,7 +101,7 @@ def vote_counts(texts: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("text", r"(?i)(\byeas?\b[\s:.\-–—]*\d+)", "\u0001$1"), "\u0001")
     rows = texts.select("text_id", F.posexplode(F.slice(parts, 2, 1 << 20)).alias("pos", "s"))
     rows = rows.withColumns({"yeas": F.regexp_extract("s", _HEAD, 1).try_cast("int"), "nays": F.regexp_extract("s", _MARKED, 1).try_cast("int")}).where("yeas is not null and nays is not null and yeas + nays > 0")
-    names = lambda t: F.array_distinct(F.filter(F.transform(F.split(F.regexp_replace(t, r"(?i)^\W*(?:yeas?|nays?)\b[\s:.\-–—]*\d+", " "), r"[\s ]+"), T.vote_token), lambda w: w.rlike(r"^[A-Z].") & ~F.upper(w).isin("YEA", "YEAS", "NAY", "NAYS", "MR", "MS", "MRS", "HON", "THE", "CARRIED", "DEFEATED", "DIVISION", "TOTAL")))
+    names = lambda t: surnames(F.regexp_replace(t, r"(?i)^\W*(?:yeas?|nays?)\b[\s:.\-–—]*\d+", " "))
     cut = F.regexp_instr("s", F.lit(_MARKED))
     number = F.row_number().over(W.partitionBy("text_id").orderBy("pos"))
     result = F.when(F.col("nays") > F.col("yeas"), "Negatived").otherwise("Carried")
@@ -170,3 +179,51 @@ def vote_links(pages: DataFrame, matcher: str, most: int = 40) -> DataFrame:
     rows = rows.where(F.col("href") != "").where(F.concat_ws(" ", plain(F.col("a")), "href").rlike(matcher))
     rows = rows.select("page_id", I.resolved(F.col("url"), F.col("href")).alias("link")).distinct()
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("link")))).where(F.col("_n") <= most).drop("_n")
+
+
+def _outcome(yeas: Column, nays: Column) -> Column:
+    return F.when(nays > yeas, "Negatived").otherwise("Carried")
+
+
+def two_column_votes(pages: DataFrame) -> DataFrame:
+    """page_id, number, yeas, nays, result, yea_names, nay_names of each table headed YEAS and NAYS that names anybody, numbered in the page's order.
+
+    A row's first cell is a yea and its second a nay, blank ones are nobody; rows with fewer cells don't count.
+    """
+    tables = F.filter(_all(F.col("html"), r"(?is)<table\b[^>]*>(.*?)</table\s*>"), lambda t: F.slice(F.transform(_all(t, r"(?is)<th\b[^>]*>(.*?)</th\s*>"), lambda h: F.upper(plain(h))), 1, 2) == F.array(F.lit("YEAS"), F.lit("NAYS")))
+    rows = lambda t: F.filter(F.transform(_all(t, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), lambda r: _all(r, r"(?is)<td\b[^>]*>(.*?)</td\s*>")), lambda c: F.size(c) >= 2)
+    column = lambda t, k: F.filter(F.transform(rows(t), lambda c: plain(c[k])), lambda n: n != "")
+    sides = F.filter(F.transform(tables, lambda t: F.struct(column(t, 0).alias("yea_names"), column(t, 1).alias("nay_names"))), lambda x: F.size(x["yea_names"]) + F.size(x["nay_names"]) > 0)
+    found = pages.select("page_id", F.posexplode(sides).alias("k", "x")).select("page_id", (F.col("k") + 1).alias("number"), F.size("x.yea_names").alias("yeas"), F.size("x.nay_names").alias("nays"), "x.*")
+    return found.withColumn("result", _outcome(F.col("yeas"), F.col("nays")))
+
+
+def panel_votes(pages: DataFrame) -> DataFrame:
+    """page_id, yeas, nays, yea_names, nay_names of each page: counts of the hidden fields nbPour and nbContre (0 without), members of the panels of either side.
+
+    A member's name is that of the first span.nom, else all of the member's text; each name once, without regard to case.
+    """
+    field = lambda name: F.coalesce(F.regexp_extract(_attribute(F.regexp_extract(html, rf"""(?is)<input\b[^>]*\bid=["']{name}["'][^>]*>""", 0), "value"), r"^\s*(\d+)\s*$", 1).try_cast("int"), F.lit(0))
+
+    def panel(name: str) -> Column:
+        inside = F.regexp_extract(html, rf"""(?is)\bid=["'][^"']*_{name}["'][^>]*>(.*?)(?:<[a-z]+\b[^>]*\bid=["'][^"']*_pnl|\z)""", 1)
+        members = F.regexp_extract_all(inside, F.lit(r"""(?is)<([a-z]+)\b[^>]*\bclass=["'](?:[^"']*\s)?depute(?:\s[^"']*)?["'][^>]*>(.*?)</\1\s*>"""), F.lit(2))
+        named = F.transform(members, lambda m: F.coalesce(F.nullif(plain(F.regexp_extract(m, r"""(?is)<span\b[^>]*\bclass=["'](?:[^"']*\s)?nom(?:\s[^"']*)?["'][^>]*>(.*?)</span\s*>""", 1)), F.lit("")), plain(m)))
+        named = F.filter(named, lambda n: n != "")
+        return F.filter(named, lambda n, k: F.array_position(F.transform(named, F.lower), F.lower(n)) == k + 1)
+
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", field("nbPour").alias("yeas"), field("nbContre").alias("nays"), panel("pnlPour").alias("yea_names"), panel("pnlContre").alias("nay_names"))
+
+
+# Fixed form: a block of names after AYE, dots and their count, then the same after NAY.
+_DOTTED = r"(?is)\bAYE\s+(.{1,1000}?)\.{3,}\s*(\d{1,3})\s+NAY\s+(.{0,600}?)\.{3,}\s*(\d{1,3})"
+
+
+def dotted_votes(texts: DataFrame) -> DataFrame:
+    """text_id, number, yeas, nays, result, yea_names, nay_names of the divisions that a text lists with dots before the counts; one that counts nobody is none."""
+    part = lambda k: F.regexp_extract("s", _DOTTED, k)
+    rows = texts.select("text_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_DOTTED), F.lit(0))).alias("pos", "s"))
+    rows = rows.withColumns({"yeas": part(2).cast("int"), "nays": part(4).cast("int")}).where("yeas + nays > 0")
+    number = F.row_number().over(W.partitionBy("text_id").orderBy("pos"))
+    return rows.select("text_id", number.alias("number"), "yeas", "nays", _outcome(F.col("yeas"), F.col("nays")).alias("result"), surnames(part(1)).alias("yea_names"), surnames(part(3)).alias("nay_names"))
