@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import places as P
+from ..functions import text as T
 from .bills import contains
 
 
@@ -64,3 +65,11 @@ def of_riding(members: DataFrame, riding: str, level: str) -> DataFrame:
     """One member for a riding: an exact one first, then one whose riding holds the words, at the level."""
     fits = members.where(contains(F.col("riding"), riding) & at_level(level))
     return fits.orderBy(F.when(F.lower("riding") == riding.lower(), 0).otherwise(1), "name", "id").limit(1)
+
+
+def with_photos(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """members with photo_url filled where it is blank, by (position, name, photo_url) of the same normalized name; the last of a name counts."""
+    found = photos.groupBy(T.normal_name(F.col("name")).alias("_n")).agg(F.max_by("photo_url", "position").alias("_photo")).where("_n <> ''")
+    rows = members.withColumn("_n", T.normal_name(F.col("name"))).join(found, "_n", "left")
+    own = F.coalesce("photo_url", F.lit(""))
+    return rows.withColumn("photo_url", F.when(own == "", F.coalesce("_photo", F.lit(""))).otherwise(own)).select(*members.columns)
