@@ -21,7 +21,7 @@ from ..operators import members as M
 from ..operators import merge as G
 from ..operators import reactions as R
 from ..operators import votes as O
-from . import choices, contained, houses, journals, pages, provincial, rules, schedules, upper, writes  # noqa: F401  these register their queries
+from . import choices, contained, evidence, houses, journals, pages, provincial, rules, schedules, upper, writes  # noqa: F401  these register their queries
 from .catalog import AS_OF, MEMBER, ORACLES, OTHER, QUERIES, query  # noqa: F401
 
 _TALLY = """
