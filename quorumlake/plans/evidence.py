@@ -105,7 +105,7 @@ def printed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "day_tokens",
-    "SELECT o_orderkey, CASE d WHEN 12 THEN [1, 2, 13, 14] WHEN 23 THEN [2, 3, 24, 25] WHEN 31 THEN [3, 10] ELSE CASE WHEN d <= 26 THEN [d, d + 1, d + 2] END END AS days FROM (SELECT o_orderkey, day(o_orderdate)::INT AS d FROM orders)",
+    "SELECT o_orderkey, CASE d WHEN 10 THEN [10, 11, 1, 2] WHEN 12 THEN [1, 2, 13, 14] WHEN 21 THEN [2, 1, 2, 2, 2, 3] WHEN 23 THEN [2, 3, 24, 25] WHEN 31 THEN [3, 10] ELSE CASE WHEN d <= 26 THEN [d, d + 1, d + 2] END END AS days FROM (SELECT o_orderkey, day(o_orderdate)::INT AS d FROM orders)",
 )
 def day_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three days in a row whose digits run together, twice with a split of a higher score; and a token that two days make up or none."""
