@@ -62,8 +62,9 @@ class _Codes(dict):
 
 
 class Encoder:
-    """ids(texts) gives the ids of all texts in a row, and how many each text has.
+    """ids(texts) gives the ids of all texts in a row, and how many each text has, as the library encodes each text by default.
 
+    A text in which a special token is spelled out goes to the library whole.
     A chunk is two pieces at most: letters with the marks that follow, or one
     piece of any kind. New pieces of letters are encoded together in one call;
     which of the ids ends (or begins) a word tells them apart.
@@ -73,10 +74,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._of = Tokenizer.from_file(path)
+        self._of, self._whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._of.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        spelled = [re.escape(t["content"].encode()) for t in spec.get("added_tokens") or [] if t["special"]]
+        self._spelled = re.compile(b"|".join(spelled)) if spelled else None
         before, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self._kind = "whole"
         if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and norm is None:
@@ -173,6 +176,25 @@ class Encoder:
 
     def ids(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        buf, off = T.buffers(texts)
+        if not len(buf):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        hits = [m.start() for m in self._spelled.finditer(buf.tobytes())] if self._spelled else []
+        if not hits:
+            return self._ids_of(texts)
+        whole = np.unique(np.searchsorted(off, hits, "right") - 1)
+        found = [np.array(self._whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in whole.tolist()]
+        rest = np.ones(len(texts), bool)
+        rest[whole] = False
+        ids, n = self._ids_of(texts.filter(pa.array(rest)))
+        sizes = np.empty(len(texts), np.int64)
+        sizes[rest], sizes[whole] = n, [len(x) for x in found]
+        out = np.empty(int(sizes.sum()), np.uint32)
+        mine = np.repeat(rest, sizes)
+        out[mine], out[~mine] = ids, np.concatenate(found)
+        return out, sizes
+
+    def _ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = T.buffers(texts)
         if not len(buf):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
