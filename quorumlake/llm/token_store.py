@@ -12,13 +12,16 @@ Files below `path`:
   raw/kind=recipe   recipes before they have their place
   recipes           bucket, doc_id, start, n_tokens, root, digests, sizes, tails: in ascending doc_id order within
                     buckets of ascending ranges; start counts the ids of all documents before, tails those after a chunk
-  manifest          a row a bucket: documents, ids, first start, and the SHA-256 over its documents' Merkle roots
+  manifest          a tree over the documents' Merkle roots. level 0: a row a stretch of RUN_TOKENS ids, of the documents
+                    that start there; level k + 1: a row for each FOLD rows of level k, up to the level with one row
 
 Reading verifies: payloads hash to their addresses, recipes to their roots,
-buckets to the manifest; a mismatch is an error.
+and roots to the manifest; a mismatch is an error.
 
-Rows: an empty or null text is its end id alone. Documents of one id are
-ordered by root. A null doc_id comes first.
+Rows: an empty or null text is its end id alone; a special token spelled out in
+a text is encoded as the library does by default. Documents of one id are
+ordered by root. A null doc_id comes first. An empty table has no recipes and an
+empty manifest; columns other than doc_id and text aren't stored.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._order import quantiles, running, search
-from ._store import shared_dir, table
+from ._store import shared_dir, staged, table
 from ._tokens import encoder, with_end
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +49,8 @@ END = 2
 BITS, SHORTEST, LONGEST = 10, 256, 8192
 #: Documents in a bucket of the recipes, about.
 BUCKET_ROWS = 20_000
+#: Ids of a stretch, which so many documents share at most, and rows of a level of the manifest that the next one folds.
+RUN_TOKENS, FOLD = 1 << 18, 1024
 
 _RAW = "kind string, digest binary, n bigint, payload binary, doc_id bigint, digests array<binary>, sizes array<bigint>, root binary"
 
@@ -140,7 +145,8 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end: int =
     recipes = running(recipes, "bucket", [F.col("doc_id"), F.col("root")], F.col("n_tokens"), "start")
     recipes = recipes.withColumn("tails", F.expr("transform(sizes, (s, i) -> n_tokens - aggregate(slice(sizes, 1, i + 1), 0L, (a, x) -> a + x))"))
     recipes.sortWithinPartitions("bucket", "start").select("bucket", "doc_id", "start", "n_tokens", "root", "digests", "sizes", "tails").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(_recipes(spark, path)).coalesce(1).write.parquet(f"{path}/manifest")
+    for level, rows in enumerate(_manifest(_recipes(spark, path))):
+        rows.write.parquet(f"{path}/manifest/level={level}")
     return path
 
 
@@ -148,9 +154,23 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("bucket int, doc_id bigint, start bigint, n_tokens bigint, root binary, digests array<binary>, sizes array<bigint>, tails array<bigint>").parquet(f"{path}/recipes")
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    roots = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"]), ""), 256)
-    return recipes.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"), roots.alias("root"))
+_NODE = "part bigint, n_docs bigint, n_tokens bigint, first_start bigint, root string"
+
+
+def _manifest(recipes: DataFrame) -> Iterator[DataFrame]:
+    """The levels of the manifest; what one row folds is bounded on each."""
+    folded = lambda by, root: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, root.alias("root")))), lambda x: x["root"]), ""), 256).alias("root")
+    last = recipes.agg(F.max("start")).first()[0]
+    part = F.floor(F.col("start") / RUN_TOKENS).cast("long").alias("part")
+    now = recipes.groupBy(part).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("start").alias("first_start"), folded(F.col("start"), F.hex("root")))
+    top = (last or 0) // RUN_TOKENS
+    while True:
+        now = staged(now, "manifest-level")
+        yield now
+        if not top:
+            return
+        now = now.groupBy(F.floor(F.col("part") / FOLD).cast("long").alias("part")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("first_start").alias("first_start"), folded(F.col("part").alias("p"), F.col("root")))
+        top //= FOLD
 
 
 def _checked(spark: SparkSession, path: str, want_ids: bool) -> DataFrame:
@@ -240,9 +260,10 @@ def verify(spark: SparkSession, path: str) -> None:
 
     if not recipes.where(~true_root("digests", "root")).isEmpty():
         raise ValueError("a recipe doesn't hash to its root")
-    said = spark.read.schema("bucket int, n_docs bigint, n_tokens bigint, first_start bigint, root string").parquet(f"{path}/manifest")
-    if not said.exceptAll(_manifest(recipes)).isEmpty():
-        raise ValueError("the recipes don't hash to the manifest")
+    for level, rows in enumerate(_manifest(recipes)):
+        said = spark.read.schema(_NODE).parquet(f"{path}/manifest/level={level}")
+        if not said.exceptAll(rows).isEmpty() or not rows.exceptAll(said).isEmpty():
+            raise ValueError("the recipes don't hash to the manifest")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
