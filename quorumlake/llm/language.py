@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import _text as T
 from ._store import table
@@ -120,16 +121,21 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with lang_pred and score (these names replace columns of docs)."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
+    """All columns of docs, with lang_pred and score (these names, in any case, replace columns of docs).
+
+    Repeated rows are predicted alike; an empty table gives no rows.
+    """
+    keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    place = keep.index("text")
+    plain = docs.select(*[F.col(f"`{c}`") for c in keep]).toDF(*[f"c{k}" for k in range(len(keep))])  # mapInArrow can't resolve a name with a dot
+    out = StructType([*plain.schema, StructField("p", StringType()), StructField("s", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches, "text"):
-            got = [model.predict(x) for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+        for batch in T.slices(batches, f"c{place}"):
+            got = [model.predict(x) for x in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, "p", "s"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*keep, "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
