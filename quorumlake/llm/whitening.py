@@ -132,6 +132,20 @@ def _ritz(basis: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return values, basis @ turn, np.linalg.norm(image @ turn - basis @ turn * values, axis=0)
 
 
+def _sums(vectors: DataFrame, d: int) -> np.ndarray:
+    """The exact sums of the dimensions; a row a task and dimension is added up."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d, object)
+        for batch in batches:
+            for x in _rows(batch.column(0), d):
+                total += x.sum(0).astype(object)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array([str(v) for v in total], pa.string())], names=["pos", "s"])
+
+    rows = vectors.select("x").mapInArrow(part, "pos bigint, s string").groupBy("pos").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
+    return np.array([int(r.s) for r in rows.orderBy("pos").collect()], object)
+
+
 def fit(vectors: DataFrame, components: int = COMPONENTS, *, oversample: int = OVERSAMPLE, passes: int = PASSES, tolerance: float = TOLERANCE) -> Whitening | None:
     """Components of a table with the column x (distinct arrays of whole numbers of one length); None without rows."""
     head = vectors.select(F.size("x").alias("d")).first()
@@ -139,8 +153,7 @@ def fit(vectors: DataFrame, components: int = COMPONENTS, *, oversample: int = O
         return None
     d = head.d
     n = vectors.count()
-    sums = [r[0] for r in vectors.select(F.posexplode("x")).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(20,0)")).alias("s")).orderBy("pos").select("s").collect()]
-    sums = np.array([int(v) for v in sums], object)
+    sums = _sums(vectors, d)
     trace = float(added(vectors, d, lambda x: np.array([(centred(x, n, sums) ** 2).sum()]))[0]) / n
 
     def image(basis: np.ndarray) -> np.ndarray:
