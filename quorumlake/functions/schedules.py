@@ -67,19 +67,21 @@ def with_exceptions(text: Column, year: Column) -> Column:
 
 
 def _french_ranges(text: Column, year: Column, weekdays: tuple[int, ...]) -> Column:
-    far = r"(\d{1,2})\s+(\S+)\s+au\s+(\d{1,2})\s+(\S+)\s+(\d{4})"
-    near = r"(\d{1,2})\s+au\s+(\d{1,2})\s+(\S+)\s+(\d{4})"
+    """Days of 'd [month] au d month year': what stands around each word 'au' is read from the words next to it."""
+    words = F.split(F.trim(text), r"\s+")
+    word = lambda k: F.coalesce(F.get(words, k), F.lit(""))
+    number = lambda w: F.regexp_extract(w, r"(\d{1,2})$", 1)
+    month = lambda w: F.nullif(D.french_month(w), F.lit(0))
 
-    def run(pattern: str, day: int, month: int, to_day: int, to_month: int, said: int) -> Column:
-        def one(m: Column) -> Column:
-            part = lambda k: F.regexp_extract(m, pattern, k)
-            number = lambda k: F.nullif(D.french_month(part(k)), F.lit(0))
-            start, end = _place(year, number(month), part(day).cast("int")), _place(year, number(to_month), part(to_day).cast("int"))
-            return D.days(F.when(part(said).cast("int") == year, start), end, weekdays)
+    def around(k: Column) -> Column:
+        own = number(word(k - 1)) != ""  # the day stands next to 'au', else its month does
+        start = _place(year, month(F.when(own, word(k + 2)).otherwise(word(k - 1))), F.nullif(number(F.when(own, word(k - 1)).otherwise(word(k - 2))), F.lit("")).cast("int"))
+        end = _place(year, month(word(k + 2)), F.nullif(F.regexp_extract(word(k + 1), r"^(\d{1,2})$", 1), F.lit("")).cast("int"))
+        said = F.regexp_extract(word(k + 3), r"^(\d{4})", 1) == year.cast("string")
+        return D.days(F.when(said, start), end, weekdays)
 
-        return F.flatten(F.transform(_found(text, pattern), one))
-
-    return _joined(run(far, 1, 2, 3, 4, 5), run(near, 1, 3, 2, 3, 4))
+    places = F.filter(F.transform(words, lambda w, k: F.when(F.lower(w) == "au", k)), lambda k: k.isNotNull())
+    return _joined(F.flatten(F.transform(places, around)))
 
 
 def french(text: Column, year: Column) -> Column:
@@ -94,11 +96,13 @@ def from_opening(text: Column, year: Column) -> Column:
     The weeks before either start and the break in March have no sittings.
     """
     flat = _flat(text)
-    said = _named(F.regexp_extract(flat, r"(?i)opening of the \d+(?:st|nd|rd|th) session.*?([a-z]+ \d{1,2}, \d{4})", 1))
-    spring = F.coalesce(F.when(F.year(said) == year, said), D.nth_weekday(year, 2, "TU", 4))
+    opened = F.regexp_instr(flat, F.lit(r"(?i)\bopening of the \d+[a-z]{2} session\b"))
+    said = _named(F.regexp_extract(F.substring(flat, opened, F.length(flat)), r"(?i)[a-z]+ \d{1,2}, \d{4}", 0))
+    spring = F.coalesce(F.when((opened > 0) & (F.year(said) == year), said), D.nth_weekday(year, 2, "TU", 4))
     autumn = D.nth_weekday(year, 11, "TU", 1)
-    pause = r"(?i)march (\d{1,2}) ?[-–] ?(\d{1,2}), ?(\d{4})"
-    part = lambda k: F.nullif(F.regexp_extract(flat, pause, k), F.lit("")).cast("int")
+    within = r"(?i)([a-z]+) (\d{1,2}) ?[-–] ?(\d{1,2}), ?(\d{4})"
+    pauses = F.filter(_found(flat, within), lambda m: F.lower(m).startswith("march "))
+    part = lambda k: F.nullif(F.regexp_extract(F.try_element_at(pauses, F.lit(1)), within, k + 1), F.lit("")).cast("int")
     off = [D.days(F.when(part(3) == year, _place(year, 3, part(1))), _place(year, 3, part(2)), (MON, TUE, WED, THU, FRI))]
     off += [D.days(F.date_sub(D.monday(s), 7), F.date_sub(D.monday(s), 3), (MON, TUE, WED, THU, FRI)) for s in (spring, autumn)]
     sits = [D.days(a, _place(year, m, d), (TUE, WED, THU, FRI)) for a, m, d in ((spring, 6, 30), (autumn, 12, 31))]

@@ -216,14 +216,17 @@ def panel_votes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", field("nbPour").alias("yeas"), field("nbContre").alias("nays"), panel("pnlPour").alias("yea_names"), panel("pnlContre").alias("nay_names"))
 
 
-# Fixed form: a block of names after AYE, dots and their count, then the same after NAY.
-_DOTTED = r"(?is)\bAYE\s+(.{1,1000}?)\.{3,}\s*(\d{1,3})\s+NAY\s+(.{0,600}?)\.{3,}\s*(\d{1,3})"
-
-
 def dotted_votes(texts: DataFrame) -> DataFrame:
-    """text_id, number, yeas, nays, result, yea_names, nay_names of the divisions that a text lists with dots before the counts; one that counts nobody is none."""
-    part = lambda k: F.regexp_extract("s", _DOTTED, k)
-    rows = texts.select("text_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_DOTTED), F.lit(0))).alias("pos", "s"))
-    rows = rows.withColumns({"yeas": part(2).cast("int"), "nays": part(4).cast("int")}).where("yeas + nays > 0")
+    """text_id, number, yeas, nays, result, yea_names, nay_names of the divisions that a text lists with dots before the counts; one that counts nobody is none.
+
+    A text is cut after each dotted count: a piece that ends a list of AYE names,
+    followed by one that begins with NAY, is a division.
+    """
+    pieces = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[.]{3,}\s*(\d{1,3})", "\u0001$1\u0002"), "\u0001")
+    cut = F.transform(pieces, lambda p, k: F.struct(F.when(k == 0, p).otherwise(F.coalesce(F.get(F.split(p, "\u0002"), F.lit(1)), F.lit(""))).alias("names"), F.get(F.split(F.get(pieces, k + 1), "\u0002"), F.lit(0)).try_cast("int").alias("n")))
+    ayes = lambda x: F.regexp_extract(x["names"], r"(?is)\bAYE\s+(.+)$", 1)
+    after = lambda k: F.get(cut, k + 1)
+    pairs = F.transform(cut, lambda x, k: F.struct(ayes(x).alias("a"), x["n"].alias("yeas"), F.regexp_extract(after(k)["names"], r"(?is)^\s*NAY\b(.*)$", 1).alias("b"), after(k)["n"].alias("nays"), after(k)["names"].rlike(r"(?is)^\s*NAY\b").alias("ok")))
+    rows = texts.select("text_id", F.posexplode(F.filter(pairs, lambda x: x["ok"] & (x["a"] != ""))).alias("pos", "x")).select("text_id", "pos", "x.*").where("yeas + nays > 0")
     number = F.row_number().over(W.partitionBy("text_id").orderBy("pos"))
-    return rows.select("text_id", number.alias("number"), "yeas", "nays", _outcome(F.col("yeas"), F.col("nays")).alias("result"), surnames(part(1)).alias("yea_names"), surnames(part(3)).alias("nay_names"))
+    return rows.select("text_id", number.alias("number"), "yeas", "nays", _outcome(F.col("yeas"), F.col("nays")).alias("result"), surnames(F.col("a")).alias("yea_names"), surnames(F.col("b")).alias("nay_names"))

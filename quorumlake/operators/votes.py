@@ -43,8 +43,8 @@ def in_term(date: Column, start: Column, end: Column) -> Column:
     return F.coalesce((date >= start) & (end.isNull() | (date <= end)), F.lit(False))
 
 
-def term_counts(votes: DataFrame, members: DataFrame, divisions: DataFrame) -> DataFrame:
-    """id, in_term (divisions of the term), voted (own votes among them).
+def term_counts(members: DataFrame, divisions: DataFrame) -> DataFrame:
+    """id, in_term: the divisions of a member's term.
 
     Divisions are counted by date and summed up to each calendar day, so a
     member's count is the difference of two look-ups and no member meets every
@@ -58,10 +58,7 @@ def term_counts(votes: DataFrame, members: DataFrame, divisions: DataFrame) -> D
     ends = F.array(F.struct(F.date_sub("term_start", 1).alias("date"), F.lit(-1).alias("sign")), F.struct(F.coalesce("term_end", "hi").alias("date"), F.lit(1).alias("sign")))
     edges = members.where("term_start is not null").crossJoin(F.broadcast(span)).select("id", "lo", "hi", F.explode(ends).alias("e"))
     edges = edges.select("id", F.least(F.greatest("e.date", "lo"), "hi").alias("date"), "e.sign")
-    total = edges.join(upto, "date").groupBy("id").agg(F.greatest(F.sum(F.col("sign") * F.col("upto")), F.lit(0)).alias("in_term"))
-    own = votes.join(divisions.select(F.col("id").alias("division_id"), "date"), "division_id").join(members.select(F.col("id").alias("member_id"), "term_start", "term_end"), "member_id")
-    voted = own.where(in_term(F.col("date"), F.col("term_start"), F.col("term_end"))).groupBy(F.col("member_id").alias("id")).agg(F.count("*").alias("voted"))
-    return total.join(voted, "id", "left").select("id", "in_term", F.coalesce("voted", F.lit(0).cast("long")).alias("voted"))
+    return edges.join(upto, "date").groupBy("id").agg(F.greatest(F.sum(F.col("sign") * F.col("upto")), F.lit(0)).alias("in_term"))
 
 
 def scorecard(votes: DataFrame, members: DataFrame, divisions: DataFrame) -> DataFrame:
@@ -71,11 +68,15 @@ def scorecard(votes: DataFrame, members: DataFrame, divisions: DataFrame) -> Dat
     active member at the member's level, or none, has every vote in line.
     """
     who = members.select("id", F.nullif("party", F.lit("")).alias("party"), F.coalesce("government_level", F.lit("federal")).alias("government_level"))
-    tally = party_majority(votes, members).drop("majority")
-    own = votes.join(who.select(F.col("id").alias("member_id"), "party"), "member_id").join(tally, ["division_id", "party"], "left")
-    others = majority(F.col("yeas") - (F.col("vote") == "Yea").cast("long"), F.col("nays") - (F.col("vote") == "Nay").cast("long"))
-    line = own.groupBy(F.col("member_id").alias("id")).agg(F.count("*").alias("total_votes"), _count(F.col("vote") == others).alias("agreed"))
-    out = who.join(party_sizes(members), ["party", "government_level"], "left").join(line, "id", "left").join(term_counts(votes, members, divisions), "id", "left")
+    named = votes.join(members.select(F.col("id").alias("member_id"), F.nullif("party", F.lit("")).alias("party"), "term_start", "term_end"), "member_id")
+    dated = named.join(divisions.select(F.col("id").alias("division_id"), "date"), "division_id", "left")
+    side = W.partitionBy("division_id", "party")  # rows stand together by division already
+    yea, nay = (F.col("vote") == "Yea").cast("long"), (F.col("vote") == "Nay").cast("long")
+    others = F.when(F.col("party").isNotNull(), majority(F.sum(yea).over(side) - yea, F.sum(nay).over(side) - nay))
+    own = dated.withColumn("_others", others)
+    during = F.when(in_term(F.col("date"), F.col("term_start"), F.col("term_end")), 1)
+    line = own.groupBy(F.col("member_id").alias("id")).agg(F.count("*").alias("total_votes"), _count(F.col("vote") == F.col("_others")).alias("agreed"), F.count(during).alias("voted"))
+    out = who.join(party_sizes(members), ["party", "government_level"], "left").join(line, "id", "left").join(term_counts(members, divisions), "id", "left")
     total = F.coalesce("total_votes", F.lit(0).cast("long"))
     kept = F.when(F.coalesce("size", F.lit(0)) <= 1, total).otherwise(F.coalesce("agreed", F.lit(0)))
     missed = F.greatest(F.coalesce("in_term", F.lit(0)) - F.coalesce("voted", F.lit(0)), F.lit(0))

@@ -40,7 +40,7 @@ def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = d.agg(any_(F.col("id") == 7).alias("has_division"), F.count_if(F.col("bill_id").startswith("on-")).alias("divisions_of_province"), F.max("parliament").alias("parliament"), F.max("session").alias("session"), any_(F.col("bill_id") == "on-44-1-6").alias("voted"))
     two = v.where("division_id = 7").agg((F.count("*") > 0).alias("has_votes"))
     three = b.agg(F.count_if(F.col("id").startswith("on-")).alias("bills_of_province"))
-    four = m.agg(F.count_if((F.lower("province") == "nation_1") & (F.col("government_level") == "provincial")).alias("provincial_members"))
+    four = m.agg(F.count_if((F.lower("province") == "nation_7") & (F.col("government_level") == "provincial")).alias("provincial_members"))
     return one.crossJoin(two).crossJoin(three).crossJoin(four)  # one row each
 
 
