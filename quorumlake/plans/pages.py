@@ -291,9 +291,9 @@ def compare_page(first, second, level: str, party: str, members: DataFrame, vote
     """section, key, value: parties and members to choose from at a level, agreement and the newest shared votes; a member that isn't among them, or is the other one, compares with nobody."""
     at = members.where(F.col("government_level") == level)
     parties = at.where("party <> ''").select(F.lit("party").alias("section"), F.col("party").alias("key"), F.lit("").alias("value")).distinct()
-    listed = at.where(F.col("party") == party)
+    listed = at.where(F.col("party") == F.lit(party))
     names = listed.select(F.lit("member").alias("section"), F.col("id").cast("string").alias("key"), F.col("name").alias("value"))
-    valid = listed.agg(F.coalesce(F.max(F.col("id") == first), F.lit(False)).alias("a"), F.coalesce(F.max(F.col("id") == second), F.lit(False)).alias("b")).where(F.col("a") & F.col("b") & F.lit(first != second))
+    valid = listed.agg(F.coalesce(F.max(F.col("id") == first), F.lit(False)).alias("a"), F.coalesce(F.max(F.col("id") == second), F.lit(False)).alias("b")).where(F.col("a") & F.col("b") & F.lit(first is not None and first != second))
     own = votes.where(F.col("member_id").isin(first, second))
     share = O.agreement(own).select(F.lit("agreement").alias("section"), F.concat_ws("/", F.col("overlap").cast("string"), F.col("total").cast("string")).alias("key"), F.col("share").cast("int").cast("string").alias("value"))
     shared = O.shared_votes(first, second, votes, divisions, bills, limit).select(F.lit("shared").alias("section"), F.col("division_id").cast("string").alias("key"), F.concat_ws("/", "vote_a", "vote_b").alias("value"))
@@ -311,8 +311,9 @@ UNION ALL (SELECT 'shared', d.id::VARCHAR, va || '/' || vb FROM pair JOIN divisi
 )
 def compare_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.members(spark, sf_dir)
-    party = m.where("id = 1").first()["party"]
-    two = m.where((F.col("party") == party) & (F.col("government_level") == "federal")).agg(F.min("id"), F.max("id")).first()
+    own = m.where("id = 1").select("party").head(1)  # a member that isn't there has no party, and nobody is compared
+    party = own[0].party if own else None
+    two = m.where((F.col("party") == F.lit(party)) & (F.col("government_level") == "federal")).agg(F.min("id"), F.max("id")).first()
     return compare_page(two[0], two[1], "federal", party, m, *(v(spark, sf_dir) for v in (V.member_votes, V.divisions, V.bills)))
 
 

@@ -91,9 +91,9 @@ def ids_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT part, 'ann marie oneil' || part || ' lee' AS normal, CASE WHEN part % 2 = 0 THEN 'Ann Lee' || part ELSE 'Ann Lee' END AS turned, 'Eleonore Cote' || part AS folded,
        'helene-d-arcy-jp-' || part AS slug, (2 + length(part::VARCHAR))::INT AS prefix, part % 4 = 0 AS person, 'Lee' || part AS token,
        part || CASE WHEN part % 100 IN (11, 12, 13) THEN 'th' WHEN part % 10 = 1 THEN 'st' WHEN part % 10 = 2 THEN 'nd' WHEN part % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal,
-       CASE WHEN length(title) > 12 THEN title[:12] || '…' ELSE title END AS shortened, CASE WHEN part % 5 = 0 THEN '?' ELSE title[1] END AS initial,
+       CASE WHEN length(title) > 12 THEN title[:12] || '…' ELSE title END AS shortened, CASE WHEN part % 5 = 0 THEN '?' ELSE coalesce(title[1], '?') END AS initial,
        CASE part % 6 WHEN 0 THEN 'Yea' WHEN 1 THEN 'Nay' WHEN 2 THEN 'Paired' WHEN 3 THEN 'Yea' WHEN 4 THEN 'Nay' ELSE 'Abstain' END AS vote,
-       CASE WHEN part % 3 = 0 THEN 'abcd' || '~' || 'yz' ELSE 'abcdyz' END AS cut, coalesce(nullif(short_title, ''), title) AS shown
+       CASE WHEN part % 3 = 0 THEN 'abcd' || '~' || 'yz' ELSE 'abcdyz' END AS cut, coalesce(nullif(short_title, ''), title, '') AS shown
 FROM bills""",
 )
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

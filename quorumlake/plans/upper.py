@@ -18,7 +18,7 @@ def _pick(key, *xs: str):
 @query(
     "upper_index_pages",
     """SELECT id // 10 AS page_id, 'senate-44-1-' || id AS id, id::INT AS number, strftime(date, '%Y-%m-%d') AS date, CASE WHEN id % 5 = 0 THEN 'S-209' ELSE '' END AS bill_number,
-       'Motion ' || id || ' & ' || description AS description, CASE WHEN id % 7 = 0 THEN 0 ELSE (id % 90)::INT END AS yeas, (id % 70)::INT AS nays, result,
+       trim('Motion ' || id || ' & ' || coalesce(description, '')) AS description, CASE WHEN id % 7 = 0 THEN 0 ELSE (id % 90)::INT END AS yeas, (id % 70)::INT AS nays, result,
        CASE WHEN id % 3 = 0 THEN '' WHEN id % 4 = 0 THEN 'https://x.ca/v/' || id ELSE 'https://y.ca/v/' || id END AS detail_url FROM divisions WHERE id % 11 <> 0""",
 )
 def upper_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def upper_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(i % 3 == 0, F.lit("<a ")).when(i % 2 == 0, F.lit("<a class='b vote-web-title-link' ")).otherwise(F.lit('<a class="vote-web-title-link" '))
     counts = F.concat(F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("Yeas: "), (i % 90).cast("string"))), F.lit(" | Nays:\n"), (i % 70).cast("string"), F.lit(" | Total: 99"))
     row = F.concat(
-        F.lit('<tr><td class="d" data-order="'), order, F.lit('">\n'), F.date_format("date", "yyyy-MM-dd"), F.lit("</td><td>"), tag, F.lit('href="'), href, F.lit('">Motion '), k, F.lit(" &amp; "), "description", F.lit("</a><p>"), counts,
+        F.lit('<tr><td class="d" data-order="'), order, F.lit('">\n'), F.date_format("date", "yyyy-MM-dd"), F.lit("</td><td>"), tag, F.lit('href="'), href, F.lit('">Motion '), k, F.lit(" &amp; "), F.coalesce("description", F.lit("")), F.lit("</a><p>"), counts,
         F.lit("</p></td><td>"), F.when(i % 5 == 0, "<a href='/b'>s-\n 209</a>").otherwise("—"), F.lit("</td><td> "), "result", F.lit(" </td></tr>"),
     )
     page = d.select(F.floor(i / 10).alias("page_id"), row.alias("row")).groupBy("page_id").agg(F.array_join(F.collect_list("row"), "\n").alias("b"))

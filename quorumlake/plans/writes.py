@@ -190,7 +190,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, grid = F.col("id").cast("string"), F.floor(F.col("id") / 10) % 3 == 0
     day = F.when(F.col("id") % 2 == 0, F.date_format("date", "MMMM d, yyyy")).otherwise(F.date_format("date", "yyyy-MM-dd"))
     link = F.concat(F.lit("<a class='n' href=\""), F.when(F.col("id") % 4 == 0, F.concat(F.lit("https://x.ca/v/"), k)).otherwise(F.concat(F.lit("/v/"), k)), F.lit('">No. '), k, F.lit("</a>"))
-    cells = [link, F.when(F.col("id") % 5 == 0, F.lit("<b>Bill</b> C-12")).otherwise(F.lit("Motion")), F.concat(F.lit("<span>"), "description", F.lit(" &amp; more</span> of s-7")), F.concat((F.col("id") % 300).cast("string"), F.lit(" / "), (F.col("id") % 200).cast("string"), F.lit(" / "), (F.col("id") % 7).cast("string")), F.concat(F.lit("<i class=x></i> "), "result"), day]
+    cells = [link, F.when(F.col("id") % 5 == 0, F.lit("<b>Bill</b> C-12")).otherwise(F.lit("Motion")), F.concat(F.lit("<span>"), F.coalesce("description", F.lit("")), F.lit(" &amp; more</span> of s-7")), F.concat((F.col("id") % 300).cast("string"), F.lit(" / "), (F.col("id") % 200).cast("string"), F.lit(" / "), (F.col("id") % 7).cast("string")), F.concat(F.lit("<i class=x></i> "), "result"), day]
     wrap = lambda a, b: F.concat(*[x for c in cells for x in (F.lit(a), c, F.lit(b))])
     row = F.when(grid, F.concat(F.lit('<div role="row">'), wrap('<div role="gridcell">', "</div>"), F.lit("</div>"))).otherwise(F.concat(F.lit("<tr class=r>"), wrap("<td>", "</td>"), F.lit("</tr>")))
     rows = d.select(F.floor(F.col("id") / 10).alias("page_id"), "id", row.alias("row"))
@@ -201,7 +201,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "vote_index_pages",
     """SELECT id // 10 AS page_id, '44-1-' || id AS id, id::INT AS number, strftime(date, '%Y-%m-%d') AS date, CASE WHEN id % 5 = 0 THEN 'C-12' ELSE 'S-7' END AS bill_number,
-       description || ' & more of s-7' AS description, (id % 300)::INT AS yeas, (id % 200)::INT AS nays, (id % 7)::INT AS paired, result, CASE WHEN id % 4 = 0 THEN 'https://x.ca/v/' ELSE 'https://y.ca/v/' END || id AS detail_url FROM divisions""",
+       trim(coalesce(description, '') || ' & more of s-7') AS description, (id % 300)::INT AS yeas, (id % 200)::INT AS nays, (id % 7)::INT AS paired, result, CASE WHEN id % 4 = 0 THEN 'https://x.ca/v/' ELSE 'https://y.ca/v/' END || id AS detail_url FROM divisions""",
 )
 def vote_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.vote_index(_pages(spark, sf_dir), 44, 1, "https://y.ca")

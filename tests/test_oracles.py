@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import altered
 from quorumlake.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -15,17 +16,23 @@ def rows(names, found):
     return sorted(tuple(plain(x) for x in r) for r in found)
 
 
-@pytest.fixture(scope="module")
-def db():
+@pytest.fixture(scope="module", params=["given", "altered"])
+def tables(request, tmp_path_factory):
+    """(path, connection): the given tables, or a set with other keys, thinned rows, nulls and ties."""
+    path = SF
+    if request.param == "altered":
+        path = tmp_path_factory.mktemp("altered")
+        altered.write(SF, path)
     con = duckdb.connect()
-    for f in SF.glob("*.parquet"):
+    for f in path.glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    return con
+    return str(path), con
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
-def test_oracle(spark, db, name):
-    df = registry.QUERIES[name](spark, str(SF))
+def test_oracle(spark, tables, name):
+    path, db = tables
+    df = registry.QUERIES[name](spark, path)
     want = db.sql(registry.ORACLES[name])
     cols = sorted(df.columns)
     assert sorted(want.columns) == cols
