@@ -24,8 +24,12 @@ have, the ones with a run that no chained passage covers are needy; where a
 document has a needy gram, all runs of `min_words` words around it are hashed,
 and each is matched with its own first holder. Runs on one diagonal are joined.
 Of those that a passage of the same two documents holds, or that overlap
-others, as many are left out as keep every word covered. Fuzzy passages, in
-contrast, are found only where two seeds have a leader in common.
+others, as many are left out as keep every word covered.
+
+Seeds that three documents or more have leave fuzzy passages of documents that
+don't lead unmatched. Their places that no passage covers are matched once
+more: hashes of two to four neighbouring places, which far fewer documents
+share, are posted like seeds, and what they chain is aligned like the rest.
 
 Rows: a null or empty text has no passages; a row without doc_id takes no part;
 of rows with one doc_id and different texts the least text takes part (the
@@ -53,10 +57,10 @@ WINDOW = 12
 MIN_WORDS = 50
 IDENTITY = 0.8
 #: Most words between two seeds of a passage; a seed's worth in words of gap, both texts together.
-MAX_GAP = 40
-WORTH = 80
+MAX_GAP = 80
+WORTH = 160
 #: Words around a chain that are looked at; stretches are asked for in steps of STEP words.
-PAD = 32
+PAD = 64
 STEP = 32
 #: Places of a key that a packed row holds.
 PACK = 256
@@ -97,6 +101,9 @@ def _first_holders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[n
 
 #: Kinds of packed rows: seeds, of which holders are matched with leaders, and grams, whose places are told if several documents have them.
 SEED, GRAM = 0, 1
+#: Kind of rows after chaining that list a document's places of seeds which three documents or more have, and how its composite seeds skip.
+COMMON = 2
+STEPS = ((1,), (2,), (3,), (4,), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (1, 2, 3), (2, 4, 6))
 _PACKED = "kind int, key bigint, doc bigint, pos bigint, more binary"
 _POST = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("more", pa.binary())])
 _PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
@@ -425,6 +432,21 @@ def _chains(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("ref", pa.int64()), ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
         rest: list[np.ndarray] = []
+        open_: list[np.ndarray] = []  # links of the last document
+
+        def shared(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Places of whole documents with links to both leaders of their seed; the first leader's place names the seed."""
+            doc, ref, pos, at = m[:, np.lexsort((m[3], m[1], m[2], m[0]))]
+            two = np.flatnonzero((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]) & (ref[1:] != ref[:-1]))
+            two = two[np.r_[True, (doc[two[1:]] != doc[two[:-1]]) | (pos[two[1:]] != pos[two[:-1]])]] if len(two) else two
+            if len(two):
+                name = T.mix(T.mix(ref[two].view(np.uint64)) + at[two].view(np.uint64)).view(np.int64)
+                yield listed(COMMON, doc[two], pos[two], name)
+
+        def listed(kind: int, doc: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[start, len(doc)].astype(np.int32)), pa.array(x)) for x in (xs, ys)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(start), kind, np.int32)), pa.array(doc[start]), pa.array(np.zeros(len(start), np.int64)), *lists], schema=schema)
 
         def solve(m: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.r_[True, (m[0, 1:] != m[0, :-1]) | (m[1, 1:] != m[1, :-1]), True])
@@ -444,12 +466,16 @@ def _chains(min_words: int):
             gram = batch.column(0).to_numpy(zero_copy_only=False) == GRAM
             if gram.any():
                 doc, _, pos, key = m[:, gram]
-                start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                lists = [pa.ListArray.from_arrays(pa.array(np.r_[start, len(doc)].astype(np.int32)), pa.array(x)) for x in (pos, key)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), GRAM, np.int32)), pa.array(doc[start]), pa.array(np.zeros(len(start), np.int64)), *lists], schema=schema)
+                yield listed(GRAM, doc, pos, key)
             m = m[:, ~gram]
             if not m.shape[1]:
                 continue
+            own = np.flatnonzero(m[0] != m[0, -1])
+            whole = int(own[-1]) + 1 if len(own) else 0
+            if whole or (open_ and open_[-1][0, -1] != m[0, 0]):
+                yield from shared(np.concatenate([*open_, m[:, :whole]], 1))
+                open_ = []
+            open_.append(m[:, whole:])
             new = np.flatnonzero((m[0] != m[0, -1]) | (m[1] != m[1, -1]))
             last = int(new[-1]) + 1 if len(new) else 0
             if last or (rest and (rest[-1][:2, -1] != m[:2, 0]).any()):
@@ -458,10 +484,36 @@ def _chains(min_words: int):
             rest.append(m[:, last:])
         if rest:
             yield from solve(np.concatenate(rest, 1))
+        if open_:
+            yield from shared(np.concatenate(open_, 1))
 
     return run
 
 
+def _composites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed composite seeds of (doc, xs, ys, spans): two to four neighbours, STEPS apart, of the common places that no span covers."""
+    for batch in batches:
+        keys, docs, poss = [], [], []
+        for doc, xs, ys, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x, y = np.array(xs, np.int64), np.array(ys, np.int64).view(np.uint64)
+            for s in spans or ():
+                out = (x < s["start_word"]) | (x + K > s["end_word"])
+                x, y = x[out], y[out]
+            for steps in STEPS:
+                n = len(x) - steps[-1]
+                if n <= 0:
+                    continue
+                key = y[:n]
+                for step in steps:
+                    key = T.mix(key * np.uint64(0x9FB21C651E98DF25) + y[step : n + step])
+                near = x[steps[-1] :] - x[:n] <= MAX_GAP
+                keys.append(key[near])
+                poss.append(x[:n][near])
+                docs.append(np.full(int(near.sum()), doc, np.int64))
+        if keys and sum(map(len, keys)):
+            yield _packed(SEED, np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(poss))
+
+
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
     """Equal words of two short stretches in order, at most: the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -474,20 +526,35 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return row[-1]
 
 
-def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words to extend by, equal ones): an equal word counts 1, another -2, and the best prefix is taken."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    total = np.cumsum(np.where(same, 1, -2))
-    k = int(np.argmax(total))
-    return (k + 1, int(same[: k + 1].sum())) if total[k] > 0 else (0, 0)
+def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(words of a and of b to extend by, equal ones): the best prefix without gaps, then the best one with gaps.
+
+    Without gaps an equal word counts 1, another -2. With gaps the score of two
+    prefixes is three times their longest common subsequence less their lengths,
+    over at most PAD words, and only where these have a fourth of their words in common.
+    """
+    n, k, equal = min(len(a), len(b)), 0, 0
+    if n:
+        same = a[:n] == b[:n]
+        total = np.cumsum(np.where(same, 1, -2))
+        best = int(np.argmax(total))
+        if total[best] > 0:
+            k = best + 1
+            equal = int(same[:k].sum())
+    u, v = a[k : k + PAD], b[k : k + PAD]
+    if min(len(u), len(v)) < K or 4 * int(np.isin(u, v).sum()) < min(len(u), len(v)):
+        return k, k, equal
+    lcs = np.zeros((len(u) + 1, len(v) + 1), np.int64)
+    for i, word in enumerate(u):
+        lcs[i + 1, 1:] = np.maximum.accumulate(np.maximum(lcs[i, 1:], lcs[i, :-1] + (v == word)))
+    score = 3 * lcs - np.arange(len(u) + 1)[:, None] - np.arange(len(v) + 1)
+    i, j = divmod(int(np.argmax(score)), len(v) + 1)
+    return k + i, k + j, equal + int(lcs[i, j])
 
 
 def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
     """(start, end) in a, (start, end) in b and equal words of the passage around a chain's seeds."""
-    left, same = _reach(a[: xs[0]][::-1], b[: ys[0]][::-1])
+    left, below, same = _reach(a[: xs[0]][::-1], b[: ys[0]][::-1])
     x, y = int(xs[0]), int(ys[0])
     for u, v in zip(xs.tolist(), ys.tolist(), strict=True):
         if u > x and v > y:
@@ -498,8 +565,8 @@ def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int =
         new = min(u + k - max(x, u), v + k - max(y, v)) if u + k > x and v + k > y else 0
         same += max(0, new)
         x, y = max(x, u + k), max(y, v + k)
-    right, more = _reach(a[x:], b[y:])
-    return int(xs[0]) - left, x + right, int(ys[0]) - left, y + right, same + more
+    right, above, more = _reach(a[x:], b[y:])
+    return int(xs[0]) - left, x + right, int(ys[0]) - below, y + above, same + more
 
 
 def _hashes(text: bytes) -> np.ndarray:
@@ -516,13 +583,36 @@ def passages(docs: DataFrame, *, k: int = K, window: int = WINDOW, min_words: in
     if not plain.groupBy("_id").count().where("count > 1").isEmpty():
         plain = staged(plain.groupBy("_id").agg(F.min("_text").alias("_text")), "passage-texts")
     gram = min_words // 2 + 1
-    links = _matched(plain.mapInArrow(_seeds(k, window, min_words, gram), _PACKED), 2)
-    links = links.repartition(parts, "doc").sortWithinPartitions("doc", "kind", "ref", "pos", "at")
-    found = links.mapInArrow(_chains(min_words), "kind int, doc bigint, ref bigint, xs array<bigint>, ys array<bigint>")
+    first = _chained(plain.mapInArrow(_seeds(k, window, min_words, gram), _PACKED), min_words)
+    chained = _aligned(plain, first.where(F.col("kind") == SEED), k, min_words, identity)
+    # seeds that many documents have were matched with their leaders only: what is left of them is matched again, several together
+    common = _beside(first.where(F.col("kind") == COMMON).where("size(xs) > 1"), chained)
+    again = _chained(common.mapInArrow(_composites, _PACKED), min_words)
+    chained = chained.unionByName(_aligned(plain, again.where(F.col("kind") == SEED), k, min_words, identity)).distinct()
+    places = _beside(first.where(F.col("kind") == GRAM), chained)
+    places = staged(places.mapInArrow(_needy(min_words, gram), "key bigint, doc bigint, pos bigint, needy boolean"), "places")
+    runs = exact(plain, places, min_words, gram)
+    both = chained.drop("doc_words").withColumn("_exact", F.lit(False)).unionByName(runs.withColumn("_exact", F.lit(True)))
+    return both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "ref_doc_id", "start_word", F.desc("end_word")).mapInArrow(_joined, _ROWS)
+
+
+def _chained(packed: DataFrame, min_words: int) -> DataFrame:
+    """Chains of packed seeds (kind SEED), and lists of places of grams and of common seeds."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = _matched(packed, 2).repartition(parts, "doc").sortWithinPartitions("doc", "kind", "ref", "pos", "at")
+    return staged(links.mapInArrow(_chains(min_words), "kind int, doc bigint, ref bigint, xs array<bigint>, ys array<bigint>"), "chains")
+
+
+def _beside(places: DataFrame, chained: DataFrame) -> DataFrame:
+    """doc, xs, ys, spans: listed places with the passages of their document."""
+    spans = chained.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word", "doc_words")).alias("spans"))
+    return places.select("doc", "xs", "ys").join(spans, "doc", "left").select("doc", "xs", "ys", "spans")
+
+
+def _aligned(plain: DataFrame, found: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
+    """The passages of chains, with the number of words of their document."""
     lo = lambda c: F.expr(f"greatest(0L, {c}[0] - {PAD}) div {STEP} * {STEP}")
     hi = lambda c: F.expr(f"({c}[size({c}) - 1] + {k + PAD + STEP - 1}) div {STEP} * {STEP}")
-    both = staged(found, "chains")
-    found = both.where(F.col("kind") == SEED)
     found = found.select("doc", "ref", "xs", "ys", lo("xs").alias("doc_lo"), hi("xs").alias("doc_hi"), lo("ys").alias("ref_lo"), hi("ys").alias("ref_hi"))
 
     asked = found.select(F.col("doc").alias("id"), F.col("doc_lo").alias("lo"), F.col("doc_hi").alias("hi")).union(found.select("ref", "ref_lo", "ref_hi")).distinct()
@@ -560,13 +650,7 @@ def passages(docs: DataFrame, *, k: int = K, window: int = WINDOW, min_words: in
             if rows:
                 yield _shape(_ROW.append(pa.field("doc_words", pa.int64())), list(zip(*rows, strict=True)))
 
-    chained = staged(pairs.mapInArrow(aligned, f"{_ROWS}, doc_words bigint").distinct(), "chained")
-    spans = chained.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word", "doc_words")).alias("spans"))
-    places = both.where(F.col("kind") == GRAM).select("doc", "xs", "ys").join(spans, "doc", "left").select("doc", "xs", "ys", "spans")
-    places = staged(places.mapInArrow(_needy(min_words, gram), "key bigint, doc bigint, pos bigint, needy boolean"), "places")
-    runs = exact(plain, places, min_words, gram)
-    both = chained.drop("doc_words").withColumn("_exact", F.lit(False)).unionByName(runs.withColumn("_exact", F.lit(True)))
-    return both.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "ref_doc_id", "start_word", F.desc("end_word")).mapInArrow(_joined, _ROWS)
+    return staged(pairs.mapInArrow(aligned, f"{_ROWS}, doc_words bigint").distinct(), "chained")
 
 
 def _texts(plain: DataFrame, asked: DataFrame, column: str) -> DataFrame:

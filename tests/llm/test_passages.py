@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from quorumlake.llm import passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,3 +66,30 @@ def test_copies_of_a_passage_inside_a_document(spark):
     assert len(rows) < 200  # in proportion to the words, not to place by place
     fuzzy = [r for r in rows if (r.doc_id, r.ref_doc_id) == (6, 0)]
     assert any(r.start_word < 90 for r in fuzzy) and any(r.end_word > 190 for r in fuzzy)
+
+
+def edited_pairs(common, every, kind):
+    """Documents with 40 pairs of a passage of 120 words and its edited copy, and where the copies are."""
+    rnd, words = maker(11)
+    lines = [words(12) for _ in range(100)]
+    docs = {i: " ".join(rnd.choices(lines, k=40)) for i in range(500)} if common else {}
+    truth = {}
+    for i in range(40):
+        passage = (" ".join(rnd.sample(lines, 10)) if common else words(120)).split()
+        copy = [x for k, w in enumerate(passage) for x in ([w] if k % every != every // 2 else {"other": [f"edit{k}"], "more": [w, f"edit{k}"], "less": []}[kind])]
+        docs[1000 + i] = f"{words(60)} {' '.join(passage)} {words(60)}"
+        docs[2000 + i] = f"{words(60)} {' '.join(copy)} {words(60)}"
+        truth[2000 + i] = (1000 + i, 60, 60 + len(copy))
+    return docs, truth
+
+
+@pytest.mark.parametrize(("common", "every", "kind", "least"), [(False, 8, "other", 0.95), (False, 8, "more", 0.85), (False, 8, "less", 0.8), (False, 12, "less", 0.9), (True, 20, "other", 0.95), (True, 20, "less", 0.9), (True, 12, "other", 0.85)])
+def test_recall_of_edited_passages(spark, common, every, kind, least):
+    """The share of the copies' words that rows with their own partner cover; wrong words at the ends stay few."""
+    docs, truth = edited_pairs(common, every, kind)
+    rows = found(spark, docs)
+    have = {(r.doc_id, j) for r in rows for j in range(r.start_word, r.end_word) if truth.get(r.doc_id, (None,))[0] == r.ref_doc_id}
+    want = {(d, j) for d, (_, a, b) in truth.items() for j in range(a, b)}
+    print(common, every, kind, len(have & want) / len(want))
+    assert len(have & want) >= least * len(want)
+    assert len(have - want) <= 0.02 * len(want)
