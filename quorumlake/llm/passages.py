@@ -28,7 +28,7 @@ others, as many are left out as keep every word covered.
 
 Seeds that three documents or more have leave fuzzy passages of documents that
 don't lead unmatched. Their places that no passage covers are matched once
-more: hashes of two to four neighbouring places, which far fewer documents
+more: hashes of three or four neighbouring places, which far fewer documents
 share, are posted like seeds, and what they chain is aligned like the rest.
 
 Rows: a null or empty text has no passages; a row without doc_id takes no part;
@@ -103,7 +103,7 @@ def _first_holders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[n
 SEED, GRAM = 0, 1
 #: Kind of rows after chaining that list a document's places of seeds which three documents or more have, and how its composite seeds skip.
 COMMON = 2
-STEPS = ((1,), (2,), (3,), (4,), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (1, 2, 3), (2, 4, 6))
+STEPS = ((1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (1, 2, 3), (2, 4, 6))
 _PACKED = "kind int, key bigint, doc bigint, pos bigint, more binary"
 _POST = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("more", pa.binary())])
 _PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
@@ -490,28 +490,32 @@ def _chains(min_words: int):
     return run
 
 
-def _composites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed composite seeds of (doc, xs, ys, spans): two to four neighbours, STEPS apart, of the common places that no span covers."""
-    for batch in batches:
-        keys, docs, poss = [], [], []
-        for doc, xs, ys, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x, y = np.array(xs, np.int64), np.array(ys, np.int64).view(np.uint64)
-            for s in spans or ():
-                out = (x < s["start_word"]) | (x + K > s["end_word"])
-                x, y = x[out], y[out]
-            for steps in STEPS:
-                n = len(x) - steps[-1]
-                if n <= 0:
-                    continue
-                key = y[:n]
-                for step in steps:
-                    key = T.mix(key * np.uint64(0x9FB21C651E98DF25) + y[step : n + step])
-                near = x[steps[-1] :] - x[:n] <= MAX_GAP
-                keys.append(key[near])
-                poss.append(x[:n][near])
-                docs.append(np.full(int(near.sum()), doc, np.int64))
-        if keys and sum(map(len, keys)):
-            yield _packed(SEED, np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(poss))
+def _composites(ways: tuple[tuple[int, ...], ...]):
+    """Packed composite seeds of (doc, xs, ys, spans): several neighbours, by each of the ways to skip, of the common places that no span covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, docs, poss = [], [], []
+            for doc, xs, ys, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.array(xs, np.int64), np.array(ys, np.int64).view(np.uint64)
+                for s in spans or ():
+                    out = (x < s["start_word"]) | (x + K > s["end_word"])
+                    x, y = x[out], y[out]
+                for steps in ways:
+                    n = len(x) - steps[-1]
+                    if n <= 0:
+                        continue
+                    key = y[:n]
+                    for step in steps:
+                        key = T.mix(key * np.uint64(0x9FB21C651E98DF25) + y[step : n + step])
+                    near = x[steps[-1] :] - x[:n] <= MAX_GAP
+                    keys.append(key[near])
+                    poss.append(x[:n][near])
+                    docs.append(np.full(int(near.sum()), doc, np.int64))
+            if keys and sum(map(len, keys)):
+                yield _packed(SEED, np.concatenate(keys).view(np.int64), np.concatenate(docs), np.concatenate(poss))
+
+    return run
 
 
 def _edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -587,7 +591,7 @@ def passages(docs: DataFrame, *, k: int = K, window: int = WINDOW, min_words: in
     chained = _aligned(plain, first.where(F.col("kind") == SEED), k, min_words, identity)
     # seeds that many documents have were matched with their leaders only: what is left of them is matched again, several together
     common = _beside(first.where(F.col("kind") == COMMON).where("size(xs) > 1"), chained)
-    again = _chained(common.mapInArrow(_composites, _PACKED), min_words)
+    again = _chained(common.mapInArrow(_composites(STEPS), _PACKED), min_words)
     chained = chained.unionByName(_aligned(plain, again.where(F.col("kind") == SEED), k, min_words, identity)).distinct()
     places = _beside(first.where(F.col("kind") == GRAM), chained)
     places = staged(places.mapInArrow(_needy(min_words, gram), "key bigint, doc bigint, pos bigint, needy boolean"), "places")
