@@ -28,7 +28,7 @@ others, as many are left out as keep every word covered.
 
 Seeds that three documents or more have leave fuzzy passages of documents that
 don't lead unmatched. Their places that no passage covers are matched once
-more: hashes of three or four neighbouring places, which far fewer documents
+more: hashes of two or three places of MIN_SPAN words apart, which far fewer documents
 share, are posted like seeds, and what they chain is aligned like the rest.
 
 Rows: a null or empty text has no passages; a row without doc_id takes no part;
@@ -60,7 +60,7 @@ IDENTITY = 0.8
 MAX_GAP = 80
 WORTH = 160
 #: Words around a chain that are looked at; stretches are asked for in steps of STEP words.
-PAD = 64
+PAD = 48
 STEP = 32
 #: Places of a key that a packed row holds.
 PACK = 256
@@ -101,9 +101,11 @@ def _first_holders(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[n
 
 #: Kinds of packed rows: seeds, of which holders are matched with leaders, and grams, whose places are told if several documents have them.
 SEED, GRAM = 0, 1
-#: Kind of rows after chaining that list a document's places of seeds which three documents or more have, and how its composite seeds skip.
+#: Kind of rows after chaining that list a document's places of seeds which three documents or more have, and how its composite seeds skip places.
 COMMON = 2
-STEPS = ((1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (1, 2, 3), (2, 4, 6))
+#: Composites of fewer words than MIN_SPAN are as frequent as the line that they stand in.
+MIN_SPAN = 20
+STEPS = ((1,), (2,), (3,), (4,), (1, 2), (1, 3), (2, 3), (2, 4))
 _PACKED = "kind int, key bigint, doc bigint, pos bigint, more binary"
 _POST = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("more", pa.binary())])
 _PLACE = np.dtype([("doc", "<i8"), ("pos", "<i4")])
@@ -508,7 +510,8 @@ def _composites(ways: tuple[tuple[int, ...], ...]):
                     key = y[:n]
                     for step in steps:
                         key = T.mix(key * np.uint64(0x9FB21C651E98DF25) + y[step : n + step])
-                    near = x[steps[-1] :] - x[:n] <= MAX_GAP
+                    apart = x[steps[-1] :] - x[:n]
+                    near = (apart <= MAX_GAP) & (apart >= MIN_SPAN)
                     keys.append(key[near])
                     poss.append(x[:n][near])
                     docs.append(np.full(int(near.sum()), doc, np.int64))
@@ -535,7 +538,7 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
     Without gaps an equal word counts 1, another -2. With gaps the score of two
     prefixes is three times their longest common subsequence less their lengths,
-    over at most PAD words, and only where these have a fourth of their words in common.
+    over at most PAD words, and only where half of the first 16 stand near each other.
     """
     n, k, equal = min(len(a), len(b)), 0, 0
     if n:
@@ -546,7 +549,8 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             k = best + 1
             equal = int(same[:k].sum())
     u, v = a[k : k + PAD], b[k : k + PAD]
-    if min(len(u), len(v)) < K or 4 * int(np.isin(u, v).sum()) < min(len(u), len(v)):
+    near = min(16, len(u), len(v))
+    if near < K or 2 * len(set(u[:near].tolist()) & set(v[: near + 8].tolist())) < near:
         return k, k, equal
     lcs = np.zeros((len(u) + 1, len(v) + 1), np.int64)
     for i, word in enumerate(u):
