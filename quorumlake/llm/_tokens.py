@@ -10,10 +10,14 @@ pre-tokenizers encode texts whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import itertools
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -227,6 +231,21 @@ def release() -> None:
     encoder.cache_clear()
 
 
+def tidy(run):
+    """A task's function over batches that gives freed memory back at its end: workers are kept for later tasks, and what they hold counts."""
+
+    @functools.wraps(run)
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not in every C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return swept
+
+
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with `end` after each document, and the documents' offsets."""
     off = np.concatenate([[0], np.cumsum(n + 1)])

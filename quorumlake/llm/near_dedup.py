@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._graph import components
 from ._store import free, staged, table
-from ._tokens import release
+from ._tokens import release, tidy
 
 COORDINATES = 32
 MISS = 1e-6
@@ -83,6 +83,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     """doc_id, n (set size), x and y (128 bits of the set), tokens (coordinate-value pairs) and bits (8 of each)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bits", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in T.slices(batches, "_text"):
@@ -119,6 +120,7 @@ def _bits(batch: pa.RecordBatch, name: str = "bits") -> np.ndarray:
 def _list_pairs(t: int, pct: int):
     """Candidates within the sublists of sorted postings (list, sub, rep, n, bits); a sublist has a bounded length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
 
@@ -212,6 +214,7 @@ def _block_links(t: int, pct: int):
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """(rep, set) of texts: the sorted shingle hashes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingles(batch.column(1), words)], pa.binary())], names=["rep", "set"])
@@ -222,6 +225,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "u", 2 << 20):
             u, v = shingles(batch.column(2), words), shingles(batch.column(3), words)
@@ -309,6 +313,7 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(rep, text) of the wanted classes: of the rows with that id, one whose set is the class's."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
             n, x = _arrays(batch, "n", "x")

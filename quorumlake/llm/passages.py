@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import free, staged, table
-from ._tokens import release
+from ._tokens import release, tidy
 
 K = 5
 WINDOW = 12
@@ -157,6 +157,7 @@ def _picked(batch: pa.RecordBatch, hashes: np.ndarray, first: np.ndarray, k: int
 def _seeds(k: int, window: int, n: int, wide_k: int):
     """Packed seeds of k words, and packed grams of wide_k words of which every n words in a row hold one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in T.slices(batches, "_text"):
@@ -183,6 +184,7 @@ def _match(leaders: int):
     tell the leaders; a key with one row at a batch's end waits for the next.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         known: tuple | None = None  # kind, key, leaders (doc, pos, doc, pos) and places not told yet, of the last key
@@ -269,6 +271,7 @@ def _needy(n: int, k: int):
     """(key, doc, pos, needy) of places xs with keys ys: needy is one around which not all words are in spans."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("needy", pa.bool_())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, xs, ys, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -289,6 +292,7 @@ def _needy(n: int, k: int):
 def _exact(n: int, k: int):
     """Packed seeds of n words around places whose gram of k words is the least of theirs."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "_text"):
             buf, off = T.buffers(batch.column(1))
@@ -321,6 +325,7 @@ _ROWS = "doc_id bigint, start_word bigint, end_word bigint, ref_doc_id bigint, r
 def _runs(n: int):
     """Links of n words, by document, other document and diagonal, to the passages that they make."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None  # doc, ref, diagonal, start, end of the last passage
         out = lambda m: _shape(_ROW, [m[0], m[3], m[4], m[1], m[3] - m[2], m[4] - m[2], m[4] - m[3], np.ones(m.shape[1])])
@@ -431,6 +436,7 @@ def chain(x: list[int], y: list[int]) -> list[list[int]]:
 def _chains(min_words: int):
     least = max(1, min_words - 2 * PAD)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("ref", pa.int64()), ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
         rest: list[np.ndarray] = []
@@ -495,6 +501,7 @@ def _chains(min_words: int):
 def _composites(ways: tuple[tuple[int, ...], ...]):
     """Packed composite seeds of (doc, xs, ys, spans): several neighbours, by each of the ways to skip, of the common places that no span covers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, poss = [], [], []
@@ -626,6 +633,7 @@ def _aligned(plain: DataFrame, found: DataFrame, k: int, min_words: int, identit
     asked = found.select(F.col("doc").alias("id"), F.col("doc_lo").alias("lo"), F.col("doc_hi").alias("hi")).union(found.select("ref", "ref_lo", "ref_hi")).distinct()
     asked = asked.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
+    @tidy
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "_text"):
             buf, off = T.buffers(batch.column(1))
@@ -646,6 +654,7 @@ def _aligned(plain: DataFrame, found: DataFrame, k: int, min_words: int, identit
     pairs = found.join(side("doc"), ["doc", "doc_lo", "doc_hi"]).join(side("ref"), ["ref", "ref_lo", "ref_hi"])
     pairs = pairs.select("doc", "ref", "doc_lo", "ref_lo", "xs", "ys", "doc_words", "ref_words", "doc_total")
 
+    @tidy
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -708,6 +717,7 @@ def cut(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFra
     joined = joined.toDF(*[f"_{k}" for k in range(len(names) + 1)])  # mapInArrow can't resolve a name with a dot
     schema = joined.drop(f"_{len(names)}").schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [without(x, [(s["start_word"], s["end_word"]) for s in spans or ()]) for x, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._store import staged, table
-from ._tokens import release
+from ._tokens import release, tidy
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -204,6 +204,7 @@ class Model:
 def _tally(sample: DataFrame) -> DataFrame:
     """gram, n, good, toxic: in how many sampled documents a gram is, and in how many of either label. A slice of texts counts its own first."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in T.slices(batches, "_text", SLICE):
@@ -237,6 +238,7 @@ def _design(sample: DataFrame, model: Model) -> DataFrame:
     """_id, _good, _toxic, cols (int32) and shares (float32) of the known grams of each sampled document."""
     schema = pa.schema([("_id", pa.int64()), ("_good", pa.int32()), ("_toxic", pa.int32()), ("cols", pa.binary()), ("shares", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "_text", SLICE):
             doc, col, share, _ = model.matrix(batch.column(3))
@@ -326,6 +328,7 @@ def score(docs: DataFrame, model: Model, *, min_good: float = MIN_GOOD, max_toxi
     place = keep.index("text")
     out = ", ".join([*(f"_{k} {x.dataType.simpleString()}" for k, x in enumerate(plain.schema)), *(f"{c} bigint" for c in COUNTS), "p_good double, p_toxic double, base_failed boolean, kept boolean"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in T.slices(batches, f"_{place}", SLICE):
@@ -350,6 +353,7 @@ def keep(docs: DataFrame, model: Model, *, min_good: float = MIN_GOOD, max_toxic
     place = docs.columns.index("text")
     plain = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in T.slices(batches, f"_{place}", SLICE):
