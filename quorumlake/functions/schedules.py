@@ -52,9 +52,12 @@ def year_section(text: Column, year: Column) -> Column:
 
 def with_exceptions(text: Column, year: Column) -> Column:
     """Mondays to Thursdays between the last two dates before 'with the following exceptions', without the days and ranges listed after it."""
-    halves = F.split(year_section(text, year), "(?i)with the following exceptions", 2)
-    main = F.transform(_found(halves[0], _FULL), _named)
-    first, last = F.try_element_at(main, F.lit(-2)), F.try_element_at(main, F.lit(-1))
+    return T.once(F.split(year_section(text, year), "(?i)with the following exceptions", 2), lambda halves: _with_exceptions(halves, year))
+
+
+def _with_exceptions(halves: Column, year: Column) -> Column:
+    main = F.transform(F.slice(F.reverse(_found(halves[0], _FULL)), 1, 2), _named)
+    first, last = F.get(main, F.lit(1)), F.get(main, F.lit(0))
     rest = F.coalesce(F.get(halves, 1), F.lit(""))
     at = lambda m, pattern, month, day: D.month_day(F.regexp_extract(m, pattern, month), F.regexp_extract(m, pattern, day), year)
     spans = [
@@ -68,7 +71,10 @@ def with_exceptions(text: Column, year: Column) -> Column:
 
 def _french_ranges(text: Column, year: Column, weekdays: tuple[int, ...]) -> Column:
     """Days of 'd [month] au d month year': what stands around each word 'au' is read from the words next to it."""
-    words = F.split(F.trim(text), r"\s+")
+    return T.once(F.split(F.trim(text), r"\s+"), lambda words: _ranges_of_words(words, year, weekdays))
+
+
+def _ranges_of_words(words: Column, year: Column, weekdays: tuple[int, ...]) -> Column:
     word = lambda k: F.coalesce(F.get(words, k), F.lit(""))
     number = lambda w: F.regexp_extract(w, r"(\d{1,2})$", 1)
     month = lambda w: F.nullif(D.french_month(w), F.lit(0))
@@ -86,8 +92,8 @@ def _french_ranges(text: Column, year: Column, weekdays: tuple[int, ...]) -> Col
 
 def french(text: Column, year: Column) -> Column:
     """Tuesdays to Thursdays of the ranges in a French schedule; to Fridays of those after the word 'intensif'."""
-    halves = F.split(F.coalesce(text, F.lit("")), "(?i)intensif", 2)
-    return _joined(_french_ranges(halves[0], year, (TUE, WED, THU)), _french_ranges(F.get(halves, 1), year, (TUE, WED, THU, FRI)))
+    both = lambda halves: F.concat(*[F.coalesce(_french_ranges(F.get(halves, k), year, w), F.array().cast("array<date>")) for k, w in ((0, (TUE, WED, THU)), (1, (TUE, WED, THU, FRI)))])
+    return _joined(T.once(F.split(F.coalesce(text, F.lit("")), "(?i)intensif", 2), both))
 
 
 def from_opening(text: Column, year: Column) -> Column:
@@ -95,15 +101,22 @@ def from_opening(text: Column, year: Column) -> Column:
 
     The weeks before either start and the break in March have no sittings.
     """
-    flat = _flat(text)
+    return T.once(_flat(text), lambda flat: _from_opening(flat, year))
+
+
+def _from_opening(flat: Column, year: Column) -> Column:
     opened = F.regexp_instr(flat, F.lit(r"(?i)\bopening of the \d+[a-z]{2} session\b"))
     said = _named(F.regexp_extract(F.substring(flat, opened, F.length(flat)), r"(?i)[a-z]+ \d{1,2}, \d{4}", 0))
-    spring = F.coalesce(F.when((opened > 0) & (F.year(said) == year), said), D.nth_weekday(year, 2, "TU", 4))
+    given = T.once(said, lambda d: F.when((opened > 0) & (F.year(d) == year), d))
+    return T.once(F.coalesce(given, D.nth_weekday(year, 2, "TU", 4)), lambda spring: _sittings_from(flat, year, spring))
+
+
+def _sittings_from(flat: Column, year: Column, spring: Column) -> Column:
     autumn = D.nth_weekday(year, 11, "TU", 1)
     within = r"(?i)([a-z]+) (\d{1,2}) ?[-–] ?(\d{1,2}), ?(\d{4})"
     pauses = F.filter(_found(flat, within), lambda m: F.lower(m).startswith("march "))
-    part = lambda k: F.nullif(F.regexp_extract(F.try_element_at(pauses, F.lit(1)), within, k + 1), F.lit("")).cast("int")
-    off = [D.days(F.when(part(3) == year, _place(year, 3, part(1))), _place(year, 3, part(2)), (MON, TUE, WED, THU, FRI))]
+    part = lambda m, k: F.nullif(F.regexp_extract(m, within, k + 1), F.lit("")).cast("int")
+    off = [T.once(F.try_element_at(pauses, F.lit(1)), lambda m: D.days(F.when(part(m, 3) == year, _place(year, 3, part(m, 1))), _place(year, 3, part(m, 2)), (MON, TUE, WED, THU, FRI)))]
     off += [D.days(F.date_sub(D.monday(s), 7), F.date_sub(D.monday(s), 3), (MON, TUE, WED, THU, FRI)) for s in (spring, autumn)]
     sits = [D.days(a, _place(year, m, d), (TUE, WED, THU, FRI)) for a, m, d in ((spring, 6, 30), (autumn, 12, 31))]
     return F.array_except(_joined(*sits), _joined(*off))
@@ -111,8 +124,7 @@ def from_opening(text: Column, year: Column) -> Column:
 
 def sessional(text: Column, year: Column) -> Column:
     """Tuesdays to Thursdays from March to June and from September to December of a year that a sessional text names."""
-    flat = F.lower(T.collapse(F.coalesce(text, F.lit(""))))
-    named = flat.contains("sessional") & flat.contains(year.cast("string"))
+    named = T.once(F.lower(T.collapse(F.coalesce(text, F.lit("")))), lambda flat: flat.contains("sessional") & flat.contains(year.cast("string")))
     halves = [D.days(_place(year, a, 1), _place(year, b, d), (TUE, WED, THU)) for a, b, d in ((3, 6, 30), (9, 12, 31))]
     return F.when(named, _joined(*halves)).otherwise(F.array().cast("array<date>"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import schedules as S
-from .catalog import query
+from .catalog import query, spread
 
 
 def _line(dates: Column) -> Column:
@@ -16,7 +16,7 @@ def _line(dates: Column) -> Column:
 
 def _texts(spark: SparkSession, sf_dir: str, *parts: str | Column) -> DataFrame:
     """part, year and a text of literal and computed parts for every bill."""
-    b = V.bills(spark, sf_dir).select("part", (1990 + F.col("part") % 40).cast("int").alias("year"))
+    b = spread(V.bills(spark, sf_dir).select("part"), "part").select("part", (1990 + F.col("part") % 40).cast("int").alias("year"))
     return b.withColumn("text", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
 
 

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from quorumlake.plans import registry
 
@@ -31,3 +32,14 @@ def against_sql(spark, tmp_path, name, changed):
 def test_names_alike_of_members_stored_and_not(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "journals_ingested", MEMBERS)
     assert got == want == [("7-NATION_3", "579", "Yea")]
+
+
+@pytest.mark.parametrize("name", ["schedules_in_french", "schedules_with_exceptions", "schedules_from_opening"])
+def test_bills_are_dealt_over_tasks(spark, name):
+    made = registry.QUERIES[name](spark, str(SF))
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_schedule_are_split_once_a_half(spark):
+    plan = registry.QUERIES["schedules_in_french"](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("split(") <= 6
