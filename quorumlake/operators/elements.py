@@ -8,7 +8,7 @@ or, as an equi-join that pairs nothing else, `a.node` among `b.around`.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -98,35 +98,80 @@ def parsed(html: str | None, silent: frozenset[str] = frozenset()) -> tuple[list
     return page.nodes, page.pieces
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html", texts: Iterable[str] | None = None, around: Iterable[str] = (), silent: Iterable[str] = ()) -> DataFrame:
+Fits = Callable[[str, dict[str, str]], bool]
+
+
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", texts: Iterable[str] | Fits | None = None, around: Iterable[str] = (), silent: Iterable[str] = (), only: Fits | None = None, kin: Fits | None = None, heads: Iterable[str] = ()) -> DataFrame:
     """key, node, last, parent (-1 at the top), tag, attrs, text and around of every element of every page.
 
-    texts: tags whose text (all text inside, as it stands) is kept, all by default,
-    else null; around: tags that get the numbers of the elements they lie in, from
-    the outermost one, else null; silent: tags whose text counts nowhere.
+    texts: tags (or a test of tag and attributes) whose text (all text inside, as
+    it stands) is kept, all by default, else null; around: tags that get the
+    numbers of the elements they lie in, from the outermost one, else null;
+    silent: tags whose text counts nowhere; only: which elements get a row, all
+    by default. kin: with it there are the columns above, next and head, which
+    are null but for elements that it holds for: the text of the parent, of the
+    next element under the same parent and of the last one before it there with a
+    tag in `heads`.
     A null page and one without tags have no elements. Missing end tags are
     supplied for lists, table parts, options and paragraphs; an end tag without a
     start is passed over. Text outside all elements belongs to none.
     """
-    kept, outer, quiet = None if texts is None else frozenset(texts), frozenset(around), frozenset(silent)
+    kept = texts if callable(texts) else (lambda tag, attrs: True) if texts is None else frozenset(texts).__contains__
+    keeps: Fits = kept if callable(texts) or texts is None else lambda tag, attrs: kept(tag)
+    outer, quiet, titles = frozenset(around), frozenset(silent), frozenset(heads)
     kind = pages.schema[key].dataType.simpleString()
+    schema = f"key {kind}, node int, last int, parent int, tag string, attrs map<string,string>, text string, around array<int>" + (", above string, next string, head string" if kin else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        types = [None, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.int32()), *[pa.string()] * (3 if kin else 0)]
+        names = ["key", "node", "last", "parent", "tag", "attrs", "text", "around", *(("above", "next", "head") if kin else ())]
+
+        def out(of: pa.DataType) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t or of) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            rows.clear()
+            return made
+
         for batch in batches:
-            for at in range(batch.num_rows):
-                nodes, pieces = parsed(batch.column(1)[at].as_py(), quiet)
-                for lo in range(0, len(nodes), 4096):  # bounded batches of a page with many elements
-                    part = range(lo, min(lo + 4096, len(nodes)))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch.column(0)[at].as_py()] * len(part), batch.schema.field(0).type), pa.array(list(part), pa.int32()), pa.array([nodes[k][3] for k in part], pa.int32()), pa.array([nodes[k][2] for k in part], pa.int32()), pa.array([nodes[k][0] for k in part], pa.string()),
-                            pa.array([list(nodes[k][1].items()) for k in part], pa.map_(pa.string(), pa.string())), pa.array(["".join(pieces[nodes[k][4] : nodes[k][5]]) if kept is None or nodes[k][0] in kept else None for k in part], pa.string()), pa.array([_above(nodes, k) if nodes[k][0] in outer else None for k in part], pa.list_(pa.int32())),
-                        ],
-                        names=["key", "node", "last", "parent", "tag", "attrs", "text", "around"],
-                    )
-
-    out = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(read, f"key {kind}, node int, last int, parent int, tag string, attrs map<string,string>, text string, around array<int>")
-    return out.withColumnRenamed("key", key)
+            of, size = batch.schema.field(0).type, 0
+            for page, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                nodes, pieces = parsed(source.as_py(), quiet)
+                said = lambda k, nodes=nodes, pieces=pieces: "".join(pieces[nodes[k][4] : nodes[k][5]])
+                follows, head = _siblings(nodes, titles) if kin else ({}, {})
+                for k, node in enumerate(nodes):
+                    if only and not only(node[0], node[1]):
+                        continue
+                    text = said(k) if keeps(node[0], node[1]) else None
+                    row = (page, k, node[3], node[2], node[0], list(node[1].items()), text, _above(nodes, k) if node[0] in outer else None)
+                    if kin:
+                        row += tuple(said(at) if at is not None and at >= 0 else None for at in (node[2], follows.get(k), head.get(k))) if kin(node[0], node[1]) else (None,) * 3
+                    rows.append(row)
+                    size += len(text or "") + (sum(len(x or "") for x in row[8:]))
+                    if len(rows) >= 4096 or size > 1 << 22:  # bounded batches, also of a page with many elements
+                        yield out(of)
+                        size = 0
+            if rows:
+                yield out(of)
+
+    made = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(read, schema)
+    return made.withColumnRenamed("key", key)
+
+
+def _siblings(nodes: list[Node], heads: frozenset[str]) -> tuple[dict[int, int], dict[int, int]]:
+    """(the next element under the same parent, the last one before with a tag in heads) of each element that has one."""
+    follows: dict[int, int] = {}
+    head: dict[int, int] = {}
+    last: dict[int, int] = {}
+    title: dict[int, int] = {}
+    for k, node in enumerate(nodes):
+        if node[2] in last:
+            follows[last[node[2]]] = k
+        if node[2] in title:
+            head[k] = title[node[2]]
+        last[node[2]] = k
+        if node[0] in heads:
+            title[node[2]] = k
+    return follows, head
 
 
 def _above(nodes: list[Node], k: int) -> list[int]:
@@ -152,6 +197,7 @@ _YEAS, _NAYS = r"(?i)(?:yeas?|ayes?|pour)\D*(\d+)", r"(?i)(?:nays?|contre)\D*(\d
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "p")
 _BOXES = ("table", "section", "article", "div")
 _ENTRIES = ("li", "td", "p")
+_ASKED = frozenset((*_BOXES, *_ENTRIES))
 
 
 def _count(pattern: str) -> Column:
@@ -170,27 +216,25 @@ def contained_votes(pages: DataFrame, province: str, legislature: int, session:
     votes: page_id, id, name, vote of each entry (list item, cell, paragraph) inside
     that is a name and whose parent's text says on which side, each once by side and name.
     """
-    page = elements(pages, texts=(*_BOXES, *_HEADINGS, *_ENTRIES, "ul", "ol", "tr", "body", "blockquote", "main"), around=_ENTRIES)
-    page = page.select("page_id", "node", "parent", "tag", T.collapse("text").alias("said"), "around")
-    boxes = page.where(F.col("tag").isin(*_BOXES) & F.col("said").rlike(_YEAS) & F.col("said").rlike(_NAYS))
+    page = elements(pages, texts=(*_BOXES, *_ENTRIES), around=_ENTRIES, only=lambda tag, _: tag in _ASKED, kin=lambda tag, _: tag in _ASKED, heads=_HEADINGS)
+    # texts are collapsed once: a filter next to the projection would do it anew for each of its terms
+    page = page.select("page_id", "node", "tag", "around", F.inline(F.array(F.struct(T.collapse("text").alias("said"), F.upper(T.collapse("above")).alias("up"), T.collapse("head").alias("head")))))
+    boxes = page.where(F.col("tag").isin(*_BOXES) & F.col("said").rlike(_YEAS) & F.col("said").rlike(_NAYS)).drop("around", "up")
     first = W.partitionBy("page_id", F.left("said", F.lit(200))).orderBy("node")
     boxes = boxes.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumns({"yeas": _count(_YEAS), "nays": _count(_NAYS)}).where("yeas + nays > 0")
     boxes = boxes.withColumn("number", F.row_number().over(W.partitionBy("page_id").orderBy("node")))
 
-    heads = page.where(F.col("tag").isin(*_HEADINGS)).select("page_id", F.col("parent").alias("_parent"), F.col("node").alias("_node"), F.col("said").alias("_said"))
-    near = boxes.select("page_id", "node", "parent").join(heads.withColumnRenamed("_parent", "parent"), ["page_id", "parent"]).where("_node < node").groupBy("page_id", "node").agg(F.max_by("_said", "_node").alias("head"))
-    told = boxes.join(near, ["page_id", "node"], "left").join(pages.select("page_id", F.col("date").alias("_day")), "page_id")
+    told = boxes.join(pages.select("page_id", F.col("date").alias("_day")), "page_id")
     date = F.coalesce(F.nullif(D.in_text(F.col("said")), F.lit("")), F.nullif("_day", F.lit("")), F.lit(today))
     text = F.coalesce(F.nullif("head", F.lit("")), F.left("said", F.lit(200)))
     told = told.withColumns({"date": date, "description": text, "result": F.when(F.col("nays") > F.col("yeas"), "Negatived").otherwise("Carried")})
     told = told.withColumn("id", I.provincial_division_id(F.lit(province), F.lit(legislature), F.lit(session), F.col("date"), F.col("number")))
 
-    said, up = F.upper("said"), F.upper("_said")
+    said, up = F.upper("said"), F.col("up")
     holds = lambda c, words: F.lit(False) if not words else holds(c, words[1:]) | c.contains(words[0].upper())
     entry = page.where(F.col("tag").isin(*_ENTRIES) & (F.octet_length("said") >= 3) & ~holds(said, (*(w for w in YEA_WORDS if w != "aye"), *NAY_WORDS)))
-    parents = page.select("page_id", F.col("node").alias("parent"), F.col("said").alias("_said"))
     side = F.when(holds(up, YEA_WORDS), "Yea").when(holds(up, NAY_WORDS), "Nay")
-    entry = entry.join(parents, ["page_id", "parent"]).select("page_id", F.col("said").alias("name"), side.alias("vote"), F.col("node").alias("_at"), F.explode("around").alias("node")).where("vote is not null")
+    entry = entry.select("page_id", F.col("said").alias("name"), side.alias("vote"), F.col("node").alias("_at"), F.explode("around").alias("node")).where("vote is not null")
     ballots = entry.join(told.select("page_id", "node", "id"), ["page_id", "node"])
     ballots = ballots.groupBy("page_id", "id", "vote", F.lower("name")).agg(F.min_by("name", "_at").alias("name")).select("page_id", "id", "name", "vote")
     return told.select("page_id", "id", "number", "date", "description", "yeas", "nays", "result"), ballots
@@ -210,7 +254,10 @@ def bill_pages(pages: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
     bill_type, introduced_date (of the first reading), full_text_url: what the
     page has first of each, '' without.
     """
-    page = elements(pages, "bill_id", around=("a",))
+    words = [part for _, parts in ANCHORS for part in parts]
+    named = lambda tag, attrs: any(w in attrs.get("id", "").lower() for w in words)
+    asked = lambda tag, attrs: tag == "a" or "class" in attrs or named(tag, attrs)
+    page = elements(pages, "bill_id", texts=lambda tag, attrs: "class" in attrs or named(tag, attrs), around=("a",), only=asked, kin=named)
     name = F.lower(attribute("id"))
     stage, place = F, F
     for k, (stage_name, parts) in enumerate(ANCHORS):
@@ -218,28 +265,24 @@ def bill_pages(pages: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
         for part in parts:
             fits = fits | name.contains(part)
         stage, place = stage.when(fits, F.lit(stage_name)), place.when(fits, F.lit(k))
-    day = lambda c: F.nullif(D.in_text(T.collapse(c)), F.lit(""))
-    follows = F.lead("text").over(W.partitionBy("bill_id", "parent").orderBy("node"))
-    staged = page.withColumns({"stage": stage, "place": place, "_next": follows}).where("stage is not null")
-    parents = page.select("bill_id", F.col("node").alias("parent"), F.col("text").alias("_up"))
-    staged = staged.join(parents, ["bill_id", "parent"], "left")
-    staged = staged.withColumn("date", F.coalesce(day(F.col("text")), day(F.col("_next")), day(F.col("_up")), F.lit("")))
-    staged = staged.select("bill_id", "stage", "place", F.row_number().over(W.partitionBy("bill_id").orderBy("place", "node")).alias("position"), "date")
-
+    day = lambda c: T.once(D.in_text(T.collapse(F.col(c))), lambda d: F.when(d != "", d))
+    date = F.coalesce(day("text"), day("next"), day("above"), F.lit(""))
     sponsor = has_class("bill-profile-sponsor") | attribute("class").contains("sponsor")
-    boxes = page.where(sponsor).select("bill_id", F.col("node").alias("_box"))
-    links = page.where("tag = 'a'").select("bill_id", "node", attribute("href").alias("href"), F.explode("around").alias("_box"))
-    member = links.join(boxes, ["bill_id", "_box"]).withColumn("m", I.member_id_from_url(F.col("href"))).where("m <> ''").groupBy("bill_id").agg(F.min_by("m", "node").alias("sponsor_id"))
-    first = lambda fits, what: F.min_by(F.when(fits, what), F.when(fits, F.col("node")))
     href = attribute("href")
     link = F.when(href.startswith("/"), F.concat(F.lit(host), href)).otherwise(href)
-    seen = page.groupBy("bill_id").agg(
-        first(has_class("bill-latest-activity") | has_class("bill-progress-current"), T.collapse("text")).alias("current_status"), first(has_class("bill-type") | attribute("class").contains("billType"), T.collapse("text")).alias("bill_type"),
-        first((F.col("tag") == "a") & href.contains("DocumentViewer") & href.contains("first-reading"), link).alias("full_text_url"),
+    when = lambda fits, what: F.when(fits, F.struct("node", what.alias("x")))
+    read = page.select(
+        "bill_id", F.when(stage.isNotNull(), F.struct(place.alias("place"), "node", stage.alias("stage"), date.alias("date"))).alias("staged"),
+        F.when(sponsor, F.col("node")).alias("box"), F.when(F.col("tag") == "a", F.struct("node", T.once(href, lambda u: F.nullif(I.member_id_from_url(u), F.lit(""))).alias("x"), "around")).alias("link"),
+        when(has_class("bill-latest-activity") | has_class("bill-progress-current"), T.collapse("text")).alias("status"), when(has_class("bill-type") | attribute("class").contains("billType"), T.collapse("text")).alias("type"),
+        when((F.col("tag") == "a") & href.contains("DocumentViewer") & href.contains("first-reading"), link).alias("url"),
     )
-    ends = staged.groupBy("bill_id").agg(F.max_by("stage", "position").alias("current_stage"), F.min_by(F.when(F.col("place") == 0, F.col("date")), F.when(F.col("place") == 0, F.col("position"))).alias("introduced_date"))
-    out = pages.select("bill_id").distinct()
-    for more in (seen, ends, member):
-        out = out.join(more, "bill_id", "left")
+    each = read.groupBy("bill_id").agg(*[F.collect_list(c).alias(c) for c in ("staged", "box", "link", "status", "type", "url")])
+    staged = each.select("bill_id", F.posexplode(F.array_sort("staged")).alias("_at", "x")).select("bill_id", "x.stage", (F.col("_at") + 1).alias("position"), "x.date")
+    first = lambda found: F.array_min(found)["x"]
+    member = first(F.transform(F.filter("link", lambda a: a["x"].isNotNull() & F.arrays_overlap(a["around"], "box")), lambda a: F.struct(a["node"].alias("node"), a["x"].alias("x"))))
+    introduced = F.array_min(F.filter("staged", lambda e: e["place"] == 0))["date"]
+    seen = each.select("bill_id", first("status").alias("current_status"), F.array_max("staged")["stage"].alias("current_stage"), member.alias("sponsor_id"), first("type").alias("bill_type"), introduced.alias("introduced_date"), first("url").alias("full_text_url"))
+    out = pages.select("bill_id").distinct().join(seen, "bill_id", "left")
     columns = ("current_status", "current_stage", "sponsor_id", "bill_type", "introduced_date", "full_text_url")
-    return out.select("bill_id", *[F.coalesce(c, F.lit("")).alias(c) for c in columns]), staged.drop("place")
+    return out.select("bill_id", *[F.coalesce(c, F.lit("")).alias(c) for c in columns]), staged

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import elements as E
-from .catalog import AS_OF, query
+from .catalog import AS_OF, query, spread
 
 _TAGS = ("a", "div", "h1", "li", "nav", "p", "td")
 
@@ -100,7 +100,7 @@ def _bill_html(b: DataFrame) -> Column:
 
 
 def _bill_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.bills(spark, sf_dir)
+    b = spread(V.bills(spark, sf_dir).select("id", "part", "current_stage", "introduced_date", "sponsor_id"), "id")
     return b.select(F.col("id").alias("bill_id"), _bill_html(b).alias("html"))
 
 
