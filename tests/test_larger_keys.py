@@ -34,8 +34,8 @@ def test_names_alike_of_members_stored_and_not(spark, tmp_path):
     assert got == want == [("7-NATION_3", "579", "Yea")]
 
 
-@pytest.mark.parametrize("name", ["schedules_in_french", "schedules_with_exceptions", "schedules_from_opening", "bill_details", "bill_detail_stages"])
-def test_bills_are_dealt_over_tasks(spark, name):
+@pytest.mark.parametrize("name", ["schedules_in_french", "schedules_with_exceptions", "schedules_from_opening", "bill_details", "bill_detail_stages", "journals_with_titles", "journals_for_against", "journals_in_columns", "journals_recorded"])
+def test_rows_are_dealt_over_tasks(spark, name):
     made = registry.QUERIES[name](spark, str(SF))
     assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
 
