@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import extract as X
 from ..operators import representatives as R
-from .catalog import query
+from .catalog import query, spread, votes_by_division
 
 _REPS = """, reps AS (SELECT id::VARCHAR AS rep_id, id // 7 AS lookup_id, id % 7 AS position, CASE WHEN id % 5 = 0 THEN 'Nobody' WHEN id % 3 = 0 THEN upper(name) ELSE ' ' || name END AS name,
   CASE WHEN id % 13 = 0 THEN ' ' WHEN id % 4 = 1 THEN lower(left(riding, length(riding) - 1)) ELSE riding END AS district,
@@ -67,7 +67,7 @@ _SIDES = """, n AS (SELECT division_id, member_id, vote, 'Ann-' || member_id ||
 
 def _sides(spark: SparkSession, sf_dir: str, piece) -> DataFrame:
     """division_id, yea, nay: sorted pieces of either side's votes (bounded by the members of one division), and how many there are."""
-    v = V.member_votes(spark, sf_dir).where("vote <> 'Paired'").withColumn("name", F.concat(F.lit("Ann-"), F.col("member_id").cast("string"), F.lit(" O'Lee")))
+    v = votes_by_division(spark, sf_dir).where("vote <> 'Paired'").withColumn("name", F.concat(F.lit("Ann-"), F.col("member_id").cast("string"), F.lit(" O'Lee")))
     return v.groupBy("division_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("vote") == x, piece))).alias(x.lower()) for x in ("Yea", "Nay")])
 
 
@@ -113,4 +113,4 @@ def dotted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, k = F.col("id"), F.col("id").cast("string")
     first = F.concat(F.lit("On division:\nAYE\n Lee-"), k, F.lit(", Roy; Mr. roy Roy ......... "), (1 + i % 40).cast("string"), F.lit("\nNAY "), F.when(i % 4 == 0, "none").otherwise("(Fox)"), F.lit(" .... "), (i % 30).cast("string"))
     rest = F.when(i % 3 == 0, "\nAYE Ng...0\nNAY Day The O'Hara.\n....3").otherwise("\nAYE Ng 4 NAY Fox .. 2")
-    return X.dotted_votes(V.divisions(spark, sf_dir).select(i.alias("text_id"), F.concat(first, F.lit("\nAYE A ....0 NAY B ....0"), rest).alias("text")))
+    return X.dotted_votes(spread(V.divisions(spark, sf_dir).select("id"), "id").select(i.alias("text_id"), F.concat(first, F.lit("\nAYE A ....0 NAY B ....0"), rest).alias("text")))
