@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import elements as E
 
+# Elements whose text is evidence.
+_SAID = ("title", "h1", "h2", "h3", "h4", "h5", "a")
 #: Weights of what a page's address, a heading and a link say.
 ADDRESS, HEADING, LINK = 70, 90, 55
 # How a legislature (first number) and a session (second) are written, in any province and in single ones, with the weight that the latter add.
@@ -60,10 +62,11 @@ def candidates(evidence: DataFrame) -> DataFrame:
 
 def evidence(pages: DataFrame) -> DataFrame:
     """code, text, weight: the addresses, headings and links of pages (page_id, code, url, html)."""
-    page = E.elements(pages, texts=("title", "h1", "h2", "h3", "h4", "h5", "a")).join(pages.select("page_id", "code"), "page_id")
-    heads = page.where(F.col("tag").isin("title", "h1", "h2", "h3", "h4", "h5")).select("code", F.trim("text").alias("text"), F.lit(HEADING).alias("weight"))
-    links = page.where((F.col("tag") == "a") & F.array_contains(F.map_keys("attrs"), "href")).select("code", F.trim(F.concat(F.trim("text"), F.lit(" "), E.attribute("href"))).alias("text"), F.lit(LINK).alias("weight"))
-    return pages.where("url <> ''").select("code", F.col("url").alias("text"), F.lit(ADDRESS).alias("weight")).unionByName(heads).unionByName(links)
+    page = E.elements(pages, texts=_SAID, only=lambda tag, attrs: tag in _SAID and (tag != "a" or "href" in attrs)).join(pages.select("page_id", "code"), "page_id")
+    link = F.col("tag") == "a"
+    said = F.trim(F.when(link, F.concat(F.trim("text"), F.lit(" "), E.attribute("href"))).otherwise(F.col("text")))
+    found = page.select("code", said.alias("text"), F.when(link, LINK).otherwise(HEADING).alias("weight"))
+    return pages.where("url <> ''").select("code", F.col("url").alias("text"), F.lit(ADDRESS).alias("weight")).unionByName(found)
 
 
 def resolve(pages: DataFrame, bills: DataFrame, constants: dict[str, tuple[int, int]]) -> DataFrame:
@@ -89,10 +92,12 @@ def chosen_option(pages: DataFrame) -> DataFrame:
 
     What an option says is its title and text; options without a value or with -1 don't count.
     """
-    page = E.elements(pages, texts=("option",), around=("option",))
-    boxes = page.where((F.col("tag") == "select") & E.has_class("sessionLegislature")).select("page_id", F.col("node").alias("_box"))
-    options = page.where("tag = 'option'").select("page_id", "node", F.trim(E.attribute("value")).alias("value"), F.concat_ws(" ", E.attribute("title"), "text").alias("said"), F.explode("around").alias("_box"))
-    options = options.where("value not in ('', '-1')").join(boxes, ["page_id", "_box"]).join(pages.select("page_id", "legislature", "session"), "page_id")
+    page = E.elements(pages, texts=("option",), around=("option",), only=lambda tag, _: tag in ("select", "option"))
+    box = F.when((F.col("tag") == "select") & E.has_class("sessionLegislature"), F.col("node"))
+    option = F.struct("node", F.trim(E.attribute("value")).alias("value"), F.concat_ws(" ", E.attribute("title"), "text").alias("said"), "around")
+    each = page.groupBy("page_id").agg(F.collect_list(box).alias("_boxes"), F.collect_list(F.when(F.col("tag") == "option", option)).alias("_options"))
+    options = each.select("page_id", "_boxes", F.inline("_options")).where("value not in ('', '-1') and arrays_overlap(around, _boxes)")
+    options = options.join(pages.select("page_id", "legislature", "session"), "page_id")
     names = lambda n, word: F.regexp_like("said", F.concat(F.lit(r"(?i)\b"), n.cast("string"), F.lit(rf"{_TH}?\s+{word}\b")))
     fits = F.coalesce(names(F.col("legislature"), "legislature") & names(F.col("session"), "session"), F.lit(False))
     best = options.groupBy("page_id").agg(F.min_by("value", F.struct(~fits, "node")).alias("value"))

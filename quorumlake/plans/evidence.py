@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..operators import printed as P
 from ..operators import sessions as S
-from .catalog import query
+from .catalog import query, spread
 
 _CODES = "[" + ", ".join(repr(x) for x in V.PREFIXES) + "]"
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+
+
 def _session_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page a customer, with evidence of six kinds that agrees or contradicts itself."""
     k = F.col("c_custkey")
@@ -27,7 +31,7 @@ def _session_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 4, t("<h4>Legislature, Session 31-2 (2025)</h4><h5>43 - 3 (2025- )</h5><a href='/41-1/'>session</a>"))
     )
     code = F.concat(F.element_at(F.array(*[F.lit(x) for x in V.PREFIXES]), (k % 10 + 1).cast("int")), F.when(k % 6 == 5, "").otherwise(t("~", k)))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("page_id"), F.when(k % 6 == 4, F.element_at(F.array(*[F.lit(x) for x in V.PREFIXES]), (k % 10 + 1).cast("int"))).otherwise(code).alias("code"), url.alias("url"), html.alias("html"))
+    return spread(_customers(spark, sf_dir), "c_custkey", like=_customers(spark, sf_dir)).select(k.alias("page_id"), F.when(k % 6 == 4, F.element_at(F.array(*[F.lit(x) for x in V.PREFIXES]), (k % 10 + 1).cast("int"))).otherwise(code).alias("code"), url.alias("url"), html.alias("html"))
 
 
 @query(
@@ -52,14 +56,14 @@ def session_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = (10 + k % 80).cast("int"), (1 + k % 8).cast("int")
     own = F.concat(F.lit("<option title='"), n.cast("string"), F.lit("th Legislature' value='v"), k.cast("string"), F.lit("'>"), s.cast("string"), F.lit(" session"))
     html = F.concat(F.lit("<select class='"), F.when(k % 4 == 0, "other").otherwise("x sessionLegislature"), F.lit("'><option value='-1'>"), n.cast("string"), F.lit("th legislature "), s.cast("string"), F.lit(" session<option value='first'>1"), n.cast("string"), F.lit(" legislature 2 session"), F.when(k % 4 == 1, own).otherwise(""), F.lit("</select>"))
-    return S.chosen_option(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("page_id"), html.alias("html"), n.alias("legislature"), s.alias("session")))
+    return S.chosen_option(spread(_customers(spark, sf_dir), "c_custkey", like=_customers(spark, sf_dir)).select(k.alias("page_id"), html.alias("html"), n.alias("legislature"), s.alias("session")))
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, date, on: the days of orders and the days after them on a page a customer and year; a day may be on and off, by different words."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("c"), F.col("o_orderdate").cast("date").alias("date"))
     both = o.select("c", F.inline(F.array(F.struct("date", F.lit(True).alias("on")), F.struct(F.date_add("date", 1).alias("date"), F.lit(False).alias("on")))))
-    return both.distinct().select((F.col("c") * 10000 + F.year("date")).alias("page_id"), F.year("date").alias("year"), "date", "on")
+    return spread(both.select((F.col("c") * 10000 + F.year("date")).alias("page_id"), F.year("date").alias("year"), "date", "on"), "page_id", like=o).distinct()
 
 
 def _words(days: DataFrame) -> DataFrame:
