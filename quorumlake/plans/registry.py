@@ -22,7 +22,7 @@ from ..operators import merge as G
 from ..operators import reactions as R
 from ..operators import votes as O
 from . import choices, contained, evidence, houses, journals, pages, provincial, rules, schedules, upper, writes  # noqa: F401  these register their queries
-from .catalog import AS_OF, MEMBER, ORACLES, OTHER, QUERIES, query  # noqa: F401
+from .catalog import AS_OF, MEMBER, ORACLES, OTHER, QUERIES, query, votes_by_division  # noqa: F401
 
 _TALLY = """
 tally AS (
@@ -117,7 +117,7 @@ def category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM member_votes a JOIN member_votes b ON a.division_id = b.division_id AND a.member_id < b.member_id GROUP BY 1, 2""",
 )
 def vote_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.agreement(V.member_votes(spark, sf_dir))
+    return O.agreement(votes_by_division(spark, sf_dir))
 
 
 @query(
