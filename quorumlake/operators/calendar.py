@@ -60,8 +60,10 @@ def replace_dates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def weekdays(ranges: DataFrame, days: tuple[int, ...], exceptions: DataFrame | None = None) -> DataFrame:
     """id, date for every given weekday of each (id, first, last), without excepted dates."""
-    out = ranges.select("id", F.explode(D.days(F.col("first"), F.col("last"), days)).alias("date")).distinct()
-    return out.join(exceptions.select("date").distinct(), "date", "left_anti").select("id", "date") if exceptions is not None else out
+    out = ranges.select("id", F.explode(D.days(F.col("first"), F.col("last"), days)).alias("date"))
+    if exceptions is not None:  # one row a calendar day at most
+        out = out.join(F.broadcast(exceptions.select("date").distinct()), "date", "left_anti").select("id", "date")
+    return out.distinct()
 
 
 def spring_and_autumn(years: DataFrame) -> DataFrame:

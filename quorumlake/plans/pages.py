@@ -14,7 +14,7 @@ from ..operators import merge as G
 from ..operators import reactions as R
 from ..operators import sequences as S
 from ..operators import votes as O
-from .catalog import AS_OF, MEMBER, OTHER, query
+from .catalog import AS_OF, MEMBER, OTHER, query, spread
 
 _LINK = """
 linked AS (
@@ -156,7 +156,7 @@ def sitting_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monday to Thursday of each range without excepted days; a range that ends before it starts has none."""
     day = F.col("introduced_date")
     ranges = V.bills(spark, sf_dir).select("id", day.alias("first"), F.when(F.col("part") % 3 == 0, F.date_sub(day, 1)).otherwise(F.date_add(day, 20)).alias("last"))
-    return C.weekdays(ranges, (2, 3, 4, 5), V.divisions(spark, sf_dir).where("id % 50 = 0").select("date"))
+    return C.weekdays(spread(ranges, "id", like=ranges), (2, 3, 4, 5), V.divisions(spark, sf_dir).where("id % 50 = 0").select("date"))
 
 
 @query("reactions_of_bills", """, last AS (SELECT user_id, bill_id, arg_max(reaction, (ts, event_id)) AS reaction FROM reactions GROUP BY 1, 2)
