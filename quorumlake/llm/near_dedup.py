@@ -240,6 +240,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, pct: int) -> DataFr
     return both.select("a", "b", "u", "v").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rarest(reps: DataFrame, t: int) -> DataFrame:
+    """(rep, tok): of the tokens that a class has in common with others the first that t common ones can't all miss, rarest first.
+
+    Spark takes a table of exploded arrays for as small as the arrays' rows and
+    would send the counts, some for each class, through the driver: so both
+    sides are shuffled.
+    """
+    posts = reps.select("rep", F.explode("tokens").alias("tok"))
+    often = posts.groupBy("tok").agg(F.count("*").alias("often")).where("often > 1")
+    shared = posts.join(often.hint("merge"), "tok").groupBy("rep").agg(F.collect_list(F.struct("often", "tok")).alias("all")).where(F.size("all") >= t)
+    return shared.select("rep", F.explode(F.slice(F.array_sort("all"), 1, F.size("all") - t + 1)).alias("p")).select("rep", "p.tok")
+
+
 def classes(docs: DataFrame, *, words: int, percent: int, k: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     t = match_threshold(percent / 100, k)
@@ -247,10 +260,7 @@ def classes(docs: DataFrame, *, words: int, percent: int, k: int = COORDINATES)
     whole = sketch.where("n > 0 and doc_id is not null")
     reps = staged(whole.groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "classes")
 
-    posts = reps.select("rep", F.explode("tokens").alias("tok"))
-    often = posts.groupBy("tok").agg(F.count("*").alias("often")).where("often > 1")
-    shared = posts.join(often, "tok").groupBy("rep").agg(F.collect_list(F.struct("often", "tok")).alias("all")).where(F.size("all") >= t)
-    first = shared.select("rep", F.explode(F.slice(F.array_sort("all"), 1, F.size("all") - t + 1)).alias("p")).select("rep", "p.tok")
+    first = _rarest(reps, t)
     lists = first.join(reps.select("rep", "n", "bits"), "rep")
     length = first.groupBy("tok").agg(F.count("*").alias("length")).where("length > 1")
     lists = staged(lists.join(length, "tok"), "postings")
