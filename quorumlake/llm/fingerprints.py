@@ -56,23 +56,31 @@ def fingerprint(units: str) -> str:
     return f"concat(hex(size({units})), ':', array_join(transform(sequence(0, {3 * BASE - 1}), i -> {cell}), ''))"
 
 
+def _placed(key: str, sign: str, check: str, m: int) -> str:
+    """SQL: a digest with the numbers of its cells, one of each row."""
+    rows = ", ".join(f"'r{row}', {row * m} + {_cell(key, str(row), m)}" for row in range(3))
+    return f"named_struct('k', {key}, 's', {sign}, 'h', {check}, {rows})"
+
+
 def _difference(entries: str, m: int) -> str:
-    """SQL: the non-zero cells of the difference of two sketches, from struct<k, s> with s 1 or -1 by version."""
-    cell = f"aggregate(filter({entries}, x -> {_cell('x.k', f'cast(i div {m} as int)', m)} = i % {m}), named_struct('i', i, 'c', 0, 'k', 0L, 'h', 0L), (a, x) -> named_struct('i', a.i, 'c', a.c + x.s, 'k', a.k ^ x.k, 'h', a.h ^ xxhash64(x.k)))"
-    return f"filter(transform(sequence(0, {3 * m - 1}), i -> {cell}), c -> c.c <> 0 or c.k <> 0L or c.h <> 0L)"
+    """SQL: the non-zero cells of the difference of two sketches, from struct<k, s, h> with s 1 or -1 by version; only cells that a digest goes into are made."""
+    ids = "array_distinct(flatten(transform(es, x -> array(x.r0, x.r1, x.r2))))"
+    cell = "aggregate(filter(es, x -> x.r0 = i or x.r1 = i or x.r2 = i), named_struct('i', i, 'c', 0, 'k', 0L, 'h', 0L), (a, x) -> named_struct('i', i, 'c', a.c + x.s, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    cells = f"filter(transform({ids}, i -> {cell}), c -> c.c <> 0 or c.k <> 0L or c.h <> 0L)"
+    return f"transform(array(transform({entries}, x -> {_placed('x.k', 'x.s', 'x.h', m)})), es -> {cells})[0]"
 
 
 def _peel(entries: str, m: int) -> str:
     """SQL: struct<cells, plus, minus>: what is left, and the recovered digests of either version."""
-    pure = "array_distinct(transform(filter(st.cells, c -> abs(c.c) = 1 and c.h = xxhash64(c.k)), c -> named_struct('k', c.k, 's', c.c, 'h', c.h)))"
-    taken = f"transform(st.cells, c -> aggregate(filter(p, x -> {_cell('x.k', f'cast(c.i div {m} as int)', m)} = c.i % {m}), c, (a, x) -> named_struct('i', a.i, 'c', a.c - x.s, 'k', a.k ^ x.k, 'h', a.h ^ x.h)))"
-    step = f"aggregate(array({pure}), st, (z, p) -> named_struct('cells', filter({taken}, c -> c.c <> 0 or c.k <> 0L or c.h <> 0L), 'plus', st.plus + size(filter(p, x -> x.s = 1)), 'minus', st.minus + size(filter(p, x -> x.s = -1))))"
+    pure = lambda s: f"transform(array_distinct(transform(filter(st.cells, c -> c.c = {s} and c.h = xxhash64(c.k)), c -> c.k)), k -> {_placed('k', str(s), 'xxhash64(k)', m)})"
+    taken = "transform(st.cells, c -> aggregate(filter(p, x -> x.r0 = c.i or x.r1 = c.i or x.r2 = c.i), c, (a, x) -> named_struct('i', c.i, 'c', a.c - x.s, 'k', a.k ^ x.k, 'h', a.h ^ x.h)))"
+    step = f"aggregate(array(concat({pure(1)}, {pure(-1)})), st, (z, p) -> if(size(p) = 0, z, named_struct('cells', filter({taken}, c -> c.c <> 0 or c.k <> 0L or c.h <> 0L), 'plus', st.plus + size(filter(p, x -> x.s = 1)), 'minus', st.minus + size(filter(p, x -> x.s = -1)))))"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {_difference(entries, m)}, 'plus', 0, 'minus', 0), (st, r) -> if(size(st.cells) = 0, st, {step}))"
 
 
 def _compare(df: DataFrame, side: int, into: str) -> DataFrame:
     """Adds struct<plus, minus> of the block's digests of the text against those of another version (side)."""
-    entries = f"transform(filter(pieces, x -> x.side = 0 or x.side = {side}), x -> named_struct('k', x.digest, 's', if(x.side = 0, 1, -1)))"
+    entries = f"transform(filter(pieces, x -> x.side = 0 or x.side = {side}), x -> named_struct('k', x.digest, 's', if(x.side = 0, 1, -1), 'h', xxhash64(x.digest)))"
     df = df.withColumn("_e", F.expr(entries)).withColumn(into, F.expr(_peel("_e", SIZES[0])))
     for m in SIZES[1:]:
         df = df.withColumn(into, F.expr(f"if(size({into}.cells) = 0, {into}, {_peel('_e', m)})"))
