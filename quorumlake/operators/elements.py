@@ -8,7 +8,9 @@ or, as an equi-join that pairs nothing else, `a.node` among `b.around`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -89,11 +91,50 @@ class _Page(HTMLParser):
             self.pieces.append(data)
 
 
+# Text and the tag after it, where the tag is plain: attributes in quotes without references; of the elements whose text isn't markup only scripts, styles and titles without anything like their own tags.
+_ATTRIBUTE = r"""[ \t\n\r\f]+([A-Za-z][A-Za-z0-9_-]*)=(?:"([^"<>&]*)"|'([^'<>&]*)')"""
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_PLAIN = re.compile(rf"""([^<]*+)<(?:(?:!doctype|!DOCTYPE)[^<>]*|(script|style)>((?:[^<]|<(?!/?s[ct]|!))*+)</\2|(title)>([^<]*)</title|(/?)([A-Za-z][A-Za-z0-9]*)((?:{re.sub(r"[(](?![?])", "(?:", _ATTRIBUTE)})*)[ \t\n\r\f]*)>""")
+_VERBATIM = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
+
+
+def _read_plain(page: _Page, html: str) -> bool:
+    """Whether the page has plain tags alone; then they are read, several times as fast as by the parser and alike."""
+    at = 0
+    while m := _PLAIN.match(html, at):
+        at = m.end()
+        text, whole, inner, title, name, end, tag, attrs = m.groups()
+        if text:
+            page.handle_data(unescape(text) if "&" in text else text)
+        if whole or title:
+            page.handle_starttag(whole or title, [])
+            if inner or name:
+                page.handle_data(inner or unescape(name))
+            page.handle_endtag(whole or title)
+        elif tag:
+            tag = tag.lower()
+            if tag in _VERBATIM:
+                return False
+            if end:
+                if attrs:
+                    return False
+                page.handle_endtag(tag)
+            else:
+                page.handle_starttag(tag, [(key.lower(), a or b) for key, a, b in _ATTRIBUTES.findall(attrs)] if attrs else [])
+    if html.find("<", at) >= 0:
+        return False
+    if at < len(html):
+        page.handle_data(unescape(html[at:]))
+    return True
+
+
 def parsed(html: str | None, silent: frozenset[str] = frozenset()) -> tuple[list[Node], list[str]]:
     """(nodes, pieces of text) of a page; the text of silent elements is left out."""
     page = _Page(silent)
-    page.feed(html or "")
-    page.close()
+    if not _read_plain(page, html or ""):
+        page = _Page(silent)
+        page.feed(html or "")
+        page.close()
     page._close(0)
     return page.nodes, page.pieces
 
@@ -216,28 +257,40 @@ def contained_votes(pages: DataFrame, province: str, legislature: int, session:
     votes: page_id, id, name, vote of each entry (list item, cell, paragraph) inside
     that is a name and whose parent's text says on which side, each once by side and name.
     """
-    page = elements(pages, texts=(*_BOXES, *_ENTRIES), around=_ENTRIES, only=lambda tag, _: tag in _ASKED, kin=lambda tag, _: tag in _ASKED, heads=_HEADINGS)
+    keyed = pages.where("page_id is not null").select(F.struct("page_id", "date").alias("page"), "html")
+    page = elements(keyed, "page", texts=(*_BOXES, *_ENTRIES), around=_ENTRIES, only=lambda tag, _: tag in _ASKED, kin=lambda tag, _: tag in _ASKED, heads=_HEADINGS)
     # texts are collapsed once: a filter next to the projection would do it anew for each of its terms
-    page = page.select("page_id", "node", "tag", "around", F.inline(F.array(F.struct(T.collapse("text").alias("said"), F.upper(T.collapse("above")).alias("up"), T.collapse("head").alias("head")))))
-    boxes = page.where(F.col("tag").isin(*_BOXES) & F.col("said").rlike(_YEAS) & F.col("said").rlike(_NAYS)).drop("around", "up")
-    first = W.partitionBy("page_id", F.left("said", F.lit(200))).orderBy("node")
-    boxes = boxes.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumns({"yeas": _count(_YEAS), "nays": _count(_NAYS)}).where("yeas + nays > 0")
-    boxes = boxes.withColumn("number", F.row_number().over(W.partitionBy("page_id").orderBy("node")))
-
-    told = boxes.join(pages.select("page_id", F.col("date").alias("_day")), "page_id")
-    date = F.coalesce(F.nullif(D.in_text(F.col("said")), F.lit("")), F.nullif("_day", F.lit("")), F.lit(today))
-    text = F.coalesce(F.nullif("head", F.lit("")), F.left("said", F.lit(200)))
-    told = told.withColumns({"date": date, "description": text, "result": F.when(F.col("nays") > F.col("yeas"), "Negatived").otherwise("Carried")})
-    told = told.withColumn("id", I.provincial_division_id(F.lit(province), F.lit(legislature), F.lit(session), F.col("date"), F.col("number")))
+    page = page.select("page.page_id", F.col("page.date").alias("_day"), "node", "tag", "around", F.inline(F.array(F.struct(T.collapse("text").alias("said"), F.upper(T.collapse("above")).alias("up"), T.collapse("head").alias("head")))))
 
     said, up = F.upper("said"), F.col("up")
     holds = lambda c, words: F.lit(False) if not words else holds(c, words[1:]) | c.contains(words[0].upper())
-    entry = page.where(F.col("tag").isin(*_ENTRIES) & (F.octet_length("said") >= 3) & ~holds(said, (*(w for w in YEA_WORDS if w != "aye"), *NAY_WORDS)))
+    date = F.coalesce(F.nullif(D.in_text(F.col("said")), F.lit("")), F.nullif("_day", F.lit("")), F.lit(today))
+    start = F.left("said", F.lit(200))
+    box = F.struct(start.alias("start"), _count(_YEAS).alias("yeas"), _count(_NAYS).alias("nays"), date.alias("date"), F.coalesce(F.nullif("head", F.lit("")), start).alias("description"))
+    box = F.when(F.col("tag").isin(*_BOXES) & F.col("said").rlike(_YEAS) & F.col("said").rlike(_NAYS), box)
     side = F.when(holds(up, YEA_WORDS), "Yea").when(holds(up, NAY_WORDS), "Nay")
-    entry = entry.select("page_id", F.col("said").alias("name"), side.alias("vote"), F.col("node").alias("_at"), F.explode("around").alias("node")).where("vote is not null")
-    ballots = entry.join(told.select("page_id", "node", "id"), ["page_id", "node"])
-    ballots = ballots.groupBy("page_id", "id", "vote", F.lower("name")).agg(F.min_by("name", "_at").alias("name")).select("page_id", "id", "name", "vote")
-    return told.select("page_id", "id", "number", "date", "description", "yeas", "nays", "result"), ballots
+    named = F.col("tag").isin(*_ENTRIES) & (F.octet_length("said") >= 3) & ~holds(said, (*(w for w in YEA_WORDS if w != "aye"), *NAY_WORDS))
+    entry = F.when(named, T.once(side, lambda v: F.when(v.isNotNull(), F.struct(F.col("said").alias("name"), v.alias("vote"), "around"))))
+    # the page goes on with what is asked of each element only; everything below is by page, so it is shuffled once and joined with nothing
+    found = page.select("page_id", "node", F.inline(F.array(F.struct(box.alias("box"), entry.alias("entry")))))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """Rows with number and id where a box counts, in the order of the page; of boxes that start alike the first one."""
+        first = F.row_number().over(W.partitionBy("page_id", "box.start").orderBy("node")) == 1
+        rows = rows.withColumn("_kept", F.col("box").isNotNull() & first & (F.col("box.yeas") + F.col("box.nays") > 0))
+        rows = rows.withColumn("number", F.when(F.col("_kept"), F.count_if("_kept").over(W.partitionBy("page_id").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")))
+        return rows.withColumn("id", F.when(F.col("_kept"), I.provincial_division_id(F.lit(province), F.lit(legislature), F.lit(session), F.col("box.date"), F.col("number"))))
+
+    told = numbered(found.where("box is not null")).where("_kept")
+    result = F.when(F.col("box.nays") > F.col("box.yeas"), "Negatived").otherwise("Carried")
+    divisions = told.select("page_id", "id", "number", "box.date", "box.description", "box.yeas", "box.nays", result.alias("result"))
+
+    inside = numbered(found.where("box is not null or entry is not null"))
+    boxes = F.collect_list(F.when(F.col("_kept"), F.struct("node", "id"))).over(W.partitionBy("page_id").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow))
+    inside = inside.withColumn("_boxes", boxes).where("entry is not null")  # a box stands before what lies in it
+    ballots = inside.select("page_id", "node", "entry.name", "entry.vote", F.explode(F.filter("_boxes", lambda b: F.array_contains("entry.around", b["node"]))["id"]).alias("id"))
+    ballots = ballots.groupBy("page_id", "id", "vote", F.lower("name")).agg(F.min_by("name", "node").alias("name")).select("page_id", "id", "name", "vote")
+    return divisions, ballots
 
 
 # What an element's id holds for each stage, in the order they are looked for.

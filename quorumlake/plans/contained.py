@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..operators import elements as E
-from .catalog import AS_OF, query, spread
+from .catalog import AS_OF, query, spread, votes_by_division
 
 _TAGS = ("a", "div", "h1", "li", "nav", "p", "td")
 
@@ -38,7 +38,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, date, yeas, nays: divisions with the names of either side's members in order."""
-    v = V.member_votes(spark, sf_dir).where("vote <> 'Paired'").withColumn("name", F.concat(F.lit("Ann-"), F.col("member_id").cast("string"), F.lit(" O'Lee")))
+    v = votes_by_division(spark, sf_dir).where("vote <> 'Paired'").withColumn("name", F.concat(F.lit("Ann-"), F.col("member_id").cast("string"), F.lit(" O'Lee")))
     sides = v.groupBy("division_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("vote") == x, F.col("name")))).alias(f"{x.lower()}s") for x in ("Yea", "Nay")])
     return V.divisions(spark, sf_dir).select("id", "date").join(sides, F.col("id") == F.col("division_id"))
 

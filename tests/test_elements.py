@@ -54,6 +54,25 @@ def test_missing_and_stray_end_tags():
     assert len(deep) == 2000 and deep[0][2] == "x" and all(d[1] == "div" for d in deep[1:])
 
 
+def test_plain_tags_are_read_as_the_parser_reads_them():
+    rnd = random.Random(11)
+    parts = ["<p>", "</p>", "<DIV id='A b'>", "</div >", "<a HREF=\"/x?y=1\" class='c' id=\"\">", "</a>", "<li>", "</ul>", "<ul\n>", "<td>", "<tr>", "</table>", "<table>", "<h1>", "</H1>", "<br>", "<title>a &lt; b</title>", "<script>var a = 'x &amp; y';</script>", "<style></style>", "<!doctype html>", "w &amp; x", "&am", " 3 &#39; ", "&", "\u00a0y"]
+    odd = ["<!-- <p> -->", "<br/>", "<a href=/x>", "<a b>", "<a c='1 &amp; 2'>", "a < b", "</>", "<script>if (a < b) '</p>';</script>", "<textarea><p>", "<title>a<b></title>", "<p", "</p x>", "<x-y>", "<?php ?>"]
+    plain = 0
+    for k in range(4000):
+        html = "".join(rnd.choice(parts if k % 2 or rnd.random() < 0.95 else odd) for _ in range(rnd.randint(0, 14)))
+        page = E._Page(frozenset(("script",)))
+        page.feed(html)
+        page.close()
+        page._close(0)
+        nodes, pieces = E.parsed(html, frozenset(("script",)))
+        told = lambda nodes, pieces: [(*n[:4], "".join(pieces[n[4] : n[5]])) for n in nodes]
+        assert told(nodes, pieces) == told(page.nodes, page.pieces), html
+        plain += E._read_plain(E._Page(frozenset()), html)
+    assert plain > 2000
+    assert E.parsed("x" * 3_000_000 + "<p")[0] == []
+
+
 def test_votes_of_a_plain_table(spark):
     html = "<html><body><h3>Bill 12 second reading</h3><table><tr><td>Yeas: 5</td><td>Nays: 2</td></tr></table></body></html>"
     divisions, votes = E.contained_votes(page(spark, html, None, "", "<div>Yeas 0 Nays 0</div>"), "ab", 31, 1, "2026-04-07")

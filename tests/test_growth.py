@@ -32,3 +32,9 @@ def test_a_page_is_parsed_once(spark, name):
 def test_days_are_counted_after_the_exceptions(spark):
     made = plan(registry.QUERIES["sitting_weekdays"](spark, SF), "executedPlan")
     assert "BroadcastHashJoin" in made and made.count("Exchange hashpartitioning(id#") == 1
+
+
+@pytest.mark.parametrize("name", ["contained_votes", "contained_divisions"])
+def test_elements_are_joined_with_nothing(spark, name):
+    made = plan(registry.QUERIES[name](spark, SF))
+    assert made.count("MapInArrow") == 1 and "Join" not in made[: made.index("MapInArrow")]
