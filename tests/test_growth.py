@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from quorumlake.operators.resolve import resolve
 from quorumlake.plans import registry
 
 SF = str(Path("/root/testdata/sf0.001"))
@@ -38,3 +39,25 @@ def test_days_are_counted_after_the_exceptions(spark):
 def test_elements_are_joined_with_nothing(spark, name):
     made = plan(registry.QUERIES[name](spark, SF))
     assert made.count("MapInArrow") == 1 and "Join" not in made[: made.index("MapInArrow")]
+
+
+def most_joined(node):
+    """The most rows that a join in a plan that has run gave."""
+    rows = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
+    return max([rows, *(most_joined(node.children().apply(k)) for k in range(node.children().size()))])
+
+
+def test_names_that_start_alike_meet_no_members_of_that_start(spark):
+    many = 400
+    members = spark.range(many).selectExpr("id", "concat('Ann Leeson', translate(id, '0123456789', 'abcdefghij')) AS name", "'X' AS province", "'' AS riding", "date'2000-01-01' AS term_start", "CASE WHEN id % 2 = 0 THEN date'2001-01-01' END AS term_end")
+    names = spark.range(many).selectExpr("id AS name_id", "concat('Bob Leeson', translate(id, '0123456789', 'abcdefghij'), 'x') AS name", "'x' AS province", "date'2001-01-02' AS date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = resolve(names, members)
+        got = {r.name_id: (r.member_id, r.rule) for r in made.collect()}
+        assert most_joined(made._jdf.queryExecution().executedPlan()) <= 4 * many
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # members in term on that day are the odd ones; a name fits the one that it begins with, unless longer numbers of such begin so
+    assert got[101] == (101, 9) and got[399] == (399, 9)
+    assert got[1] == (None, None) and got[100] == (None, None)
